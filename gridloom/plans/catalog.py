@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems
+from gridloom.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLE = {**problems.ORACLE, **reference.ORACLE}
