@@ -135,4 +135,4 @@ def is_label(col: Column) -> Column:
 
 
 def default_output(path: Column) -> Column:
-    return F.regexp_replace(path, r"(\.[^./\\]*)?$", ".xlsx")
+    return F.regexp_replace(path, r"^(.*?)(\.[^./\\]*)?$", "$1.xlsx")

@@ -24,9 +24,13 @@ def axis_clusters(df: DataFrame, keys: list[str], value: str, tolerance: float)
     its position is the mean of its values.
     """
     w = Window.partitionBy(*keys).orderBy("_v")
-    step = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_gap", F.col("_v") - F.lag("_v").over(w))
+    # Equal values are one step, so ties cannot fall on both sides of a gap.
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    step = values.withColumn("_gap", F.col("_v") - F.lag("_v").over(w))
     islands = step.withColumn("cluster", F.sum(F.when(F.col("_gap") > tolerance, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, F.col("cluster").cast("bigint").alias("cluster")).agg(F.avg("_v").alias("position"), F.count(F.lit(1)).alias("n"))
+    return islands.groupBy(*keys, F.col("cluster").cast("bigint").alias("cluster")).agg(
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("position"), F.sum("_n").alias("n")
+    )
 
 
 def anchors_of(sorted_values: Column, tolerance: Column) -> Column:

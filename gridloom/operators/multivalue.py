@@ -233,7 +233,8 @@ def shape_probability(shapes: Shapes, field: str, model: SplitModel):
     def probability(shape: str | None, inside: int) -> float:
         if shape is None:
             return model.empty
-        n = known.get(shape, 0.0) + model.novelty * model.inner**inside
+        # A shape with separators must have been met elsewhere too: one occurrence proves nothing.
+        n = max(0.0, known.get(shape, 0.0) - (inside > 0)) + model.novelty * model.inner**inside
         if " " in shape:
             n += model.stray_blank * squeezed.get(shape.replace(" ", ""), 0.0)
         return n / (total + model.novelty)

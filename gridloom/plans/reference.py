@@ -67,12 +67,14 @@ lines AS (
          ((y0 - 4) + j * (((y1 - y0) + 8) / 12)) + ((j + page_number) % 2) * 0.5, 1.0
   FROM page, range(0, 13) AS r(j) WHERE x1 > x0 AND y1 > y0)"""
 AXES = LINES + r""",
-vsteps AS (SELECT source_file, page_number, start_x AS v, start_x - lag(start_x) OVER (PARTITION BY source_file, page_number ORDER BY start_x) AS gap FROM lines WHERE NOT is_horizontal),
+vvalues AS (SELECT source_file, page_number, start_x AS v, count(*) AS c FROM lines WHERE NOT is_horizontal GROUP BY 1, 2, 3),
+vsteps AS (SELECT *, v - lag(v) OVER (PARTITION BY source_file, page_number ORDER BY v) AS gap FROM vvalues),
 vgroups AS (SELECT *, sum(CASE WHEN gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY source_file, page_number ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM vsteps),
-xs AS (SELECT source_file, page_number, CAST(g AS BIGINT) AS cluster, avg(v) AS position, count(*) AS n FROM vgroups GROUP BY 1, 2, 3),
-hsteps AS (SELECT source_file, page_number, start_y AS v, start_y - lag(start_y) OVER (PARTITION BY source_file, page_number ORDER BY start_y) AS gap FROM lines WHERE is_horizontal),
+xs AS (SELECT source_file, page_number, CAST(g AS BIGINT) AS cluster, sum(v * c) / sum(c) AS position, CAST(sum(c) AS BIGINT) AS n FROM vgroups GROUP BY 1, 2, 3),
+hvalues AS (SELECT source_file, page_number, start_y AS v, count(*) AS c FROM lines WHERE is_horizontal GROUP BY 1, 2, 3),
+hsteps AS (SELECT *, v - lag(v) OVER (PARTITION BY source_file, page_number ORDER BY v) AS gap FROM hvalues),
 hgroups AS (SELECT *, sum(CASE WHEN gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY source_file, page_number ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM hsteps),
-ys AS (SELECT source_file, page_number, CAST(g AS BIGINT) AS cluster, avg(v) AS position, count(*) AS n FROM hgroups GROUP BY 1, 2, 3)"""
+ys AS (SELECT source_file, page_number, CAST(g AS BIGINT) AS cluster, sum(v * c) / sum(c) AS position, CAST(sum(c) AS BIGINT) AS n FROM hgroups GROUP BY 1, 2, 3)"""
 GROUPS = AXES + r""",
 pairs AS (SELECT *, lag(position) OVER (PARTITION BY source_file, page_number ORDER BY position) AS prev FROM xs),
 flags AS (
@@ -149,7 +151,7 @@ s AS (
 a AS (
   SELECT source_file, page_number, character_count, word_count,
          CASE WHEN page_area > 0 THEN least(1.0, word_area / page_area) ELSE 0 END AS text_coverage,
-         CASE WHEN page_area > 0 AND n_ocr > 0 THEN 1.0 ELSE 0.0 END AS image_coverage, usable / word_count AS usable_word_ratio
+         CASE WHEN page_area > 0 AND n_ocr > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS image_coverage, usable / word_count AS usable_word_ratio
   FROM s),
 analysis AS (
   SELECT *, CASE WHEN character_count >= 20 AND word_count >= 4 AND usable_word_ratio >= 0.55
@@ -454,12 +456,12 @@ def scan_sql(at: str, tolerance: str, inner: str) -> str:
     """A first-fit scan in SQL: one step a word, all pages at once."""
     return f"""
 tol AS (SELECT source_file, page_number, {tolerance} AS t FROM words GROUP BY 1, 2),
-seq AS (SELECT source_file, page_number, word_id, text, x0, {at} AS at, t, row_number() OVER (PARTITION BY source_file, page_number ORDER BY {at}, x0, word_id) AS rn FROM words JOIN tol USING (source_file, page_number)),
+seq AS (SELECT source_file, page_number, word_id, text, x0, {at} AS pos, t, row_number() OVER (PARTITION BY source_file, page_number ORDER BY {at}, x0, word_id) AS rn FROM words JOIN tol USING (source_file, page_number)),
 scan AS (
-  SELECT source_file, page_number, rn, word_id, text, x0, at, at AS anchor, 0 AS line_no FROM seq WHERE rn = 1
+  SELECT source_file, page_number, rn, word_id, text, x0, pos, pos AS anchor, 0 AS line_no FROM seq WHERE rn = 1
   UNION ALL
-  SELECT s.source_file, s.page_number, s.rn, s.word_id, s.text, s.x0, s.at,
-         CASE WHEN s.at - p.anchor > s.t THEN s.at ELSE p.anchor END, CASE WHEN s.at - p.anchor > s.t THEN p.line_no + 1 ELSE p.line_no END
+  SELECT s.source_file, s.page_number, s.rn, s.word_id, s.text, s.x0, s.pos,
+         CASE WHEN s.pos - p.anchor > s.t THEN s.pos ELSE p.anchor END, CASE WHEN s.pos - p.anchor > s.t THEN p.line_no + 1 ELSE p.line_no END
   FROM scan p JOIN seq s ON s.source_file = p.source_file AND s.page_number = p.page_number AND s.rn = p.rn + 1),
 read AS (SELECT *, row_number() OVER (PARTITION BY source_file, page_number, line_no ORDER BY {inner}) - 1 AS place FROM scan)"""
 
@@ -467,13 +469,13 @@ read AS (SELECT *, row_number() OVER (PARTITION BY source_file, page_number, lin
 MEDIAN = "coalesce(greatest(1.0, median(CASE WHEN y1 - y0 > 0 THEN y1 - y0 END) * 0.55), 2.0)"
 
 
-@query("c03_reading_order", with_(scan_sql("(y0 + y1) / 2", MEDIAN, "x0, at, word_id"), "SELECT source_file, page_number, word_id, CAST(line_no AS BIGINT) AS line_no, place FROM read"))
+@query("c03_reading_order", with_(scan_sql("(y0 + y1) / 2", MEDIAN, "x0, pos, word_id"), "SELECT source_file, page_number, word_id, CAST(line_no AS BIGINT) AS line_no, place FROM read"))
 def c03(spark, base):
     w = words(spark, base)
     return cluster.text_lines(w.join(cluster.page_tolerance(w), KEYS), KEYS, F.col("tolerance")).select(*KEYS, "word_id", "line_no", "place")
 
 
-@query("c07_word_rows", with_(scan_sql("y0", "4.0", "at, x0, word_id"), "SELECT source_file, page_number, word_id, CAST(line_no AS BIGINT) AS line_no, place FROM read"))
+@query("c07_word_rows", with_(scan_sql("y0", "4.0", "pos, x0, word_id"), "SELECT source_file, page_number, word_id, CAST(line_no AS BIGINT) AS line_no, place FROM read"))
 def c07(spark, base):
     return cluster.text_lines(words(spark, base), KEYS, 4.0, along="top").select(*KEYS, "word_id", "line_no", "place")
 
@@ -792,6 +794,6 @@ def k05(spark, base):
     )
 
 
-@query("k08_output_paths", r"SELECT DISTINCT source_file, regexp_replace(source_file, '(\.[^./\\]*)?$', '.xlsx') AS target FROM forms")
+@query("k08_output_paths", r"SELECT DISTINCT source_file, regexp_replace(source_file, '^(.*?)(\.[^./\\]*)?$', '\1.xlsx') AS target FROM forms")
 def k08(spark, base):
     return table(spark, base, "forms").select("source_file").distinct().withColumn("target", T.default_output(F.col("source_file")))

@@ -1,0 +1,284 @@
+"""PDF files as words, ruled lines and page facts, with a small reader of our own.
+
+The reader covers what office software writes for tables: Flate or plain streams,
+text placed by the usual operators, straight lines and rectangles. Anything richer
+(encryption, compressed object streams, embedded font programs) needs a backend;
+:func:`register_backend` takes one with the same two functions.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Page:
+    width: float
+    height: float
+    words: list[tuple[str, float, float, float, float]] = field(default_factory=list)
+    lines: list[tuple[float, float, float, float, float]] = field(default_factory=list)
+    images: list[tuple[float, float, float, float]] = field(default_factory=list)
+
+
+class PdfError(ValueError):
+    """A file that cannot be read, with the reason as code."""
+
+    def __init__(self, code: str, message: str) -> None:
+        super().__init__(message)
+        self.code = code
+
+
+_OBJECT = re.compile(rb"(?:^|[\r\n\s])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.DOTALL)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+_NUMBERS = re.compile(rb"[-+]?\d*\.?\d+")
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+|<<|>>")
+
+
+def parse_pdf(data: bytes) -> list[Page]:
+    """Pages of a file in order; raises :class:`PdfError`."""
+    if not data.lstrip()[:5].startswith(b"%PDF-"):
+        raise PdfError("invalid_pdf", "no PDF header")
+    if b"/Encrypt" in data:
+        raise PdfError("password_protected", "encrypted")
+    objects = {int(m.group(1)): m.group(3) for m in _OBJECT.finditer(data)}
+    kids = [k for k, body in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
+    if not kids:
+        raise PdfError("damaged_pdf", "no pages")
+    return [_page(objects, k) for k in _in_order(objects, kids)]
+
+
+def _in_order(objects: dict[int, bytes], kids: list[int]) -> list[int]:
+    order: list[int] = []
+
+    def walk(node: int, depth: int = 0) -> None:
+        body = objects.get(node, b"")
+        m = re.search(rb"/Kids\s*\[(.*?)\]", body, re.DOTALL)
+        if m and depth < 64:
+            for ref in _REF.findall(m.group(1)):
+                walk(int(ref), depth + 1)
+        elif node in known and node not in order:
+            order.append(node)
+
+    known = set(kids)
+    for k, body in objects.items():
+        if re.search(rb"/Type\s*/Catalog\b", body) and (m := re.search(rb"/Pages\s+(\d+)", body)):
+            walk(int(m.group(1)))
+    return order or sorted(kids)
+
+
+def _inherited(objects: dict[int, bytes], node: int, pattern: bytes) -> re.Match[bytes] | None:
+    for _ in range(64):
+        body = objects.get(node, b"")
+        if m := re.search(pattern, body, re.DOTALL):
+            return m
+        up = re.search(rb"/Parent\s+(\d+)", body)
+        if not up:
+            return None
+        node = int(up.group(1))
+    return None
+
+
+def _page(objects: dict[int, bytes], node: int) -> Page:
+    box = _inherited(objects, node, rb"/MediaBox\s*\[(.*?)\]")
+    x0, y0, x1, y1 = ([float(v) for v in _NUMBERS.findall(box.group(1))] + [0, 0, 612, 792])[:4] if box else (0.0, 0.0, 612.0, 792.0)
+    page = Page(x1 - x0, y1 - y0)
+    refs = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", objects[node], re.DOTALL)
+    content = b"\n".join(_stream(objects.get(int(r), b"")) for r in _REF.findall(refs.group(1))) if refs else b""
+    _run(content, page, x0, y1)
+    return page
+
+
+def _stream(body: bytes) -> bytes:
+    m = _STREAM.search(body)
+    if not m:
+        return b""
+    head = body[: m.start()]
+    if b"/FlateDecode" in head:
+        try:
+            return zlib.decompressobj().decompress(m.group(1))
+        except zlib.error as error:
+            raise PdfError("damaged_pdf", str(error)) from error
+    return m.group(1) if b"/Filter" not in head else b""
+
+
+def _text(token: bytes) -> str:
+    if token.startswith(b"<"):
+        raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", token[1:-1])) % 2))
+    else:
+        escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+        raw = re.sub(
+            rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else escapes.get(m.group(1), m.group(1)), token[1:-1], flags=re.DOTALL
+        )
+    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+
+
+Matrix = tuple[float, float, float, float, float, float]
+
+
+def _times(a: Matrix, b: Matrix) -> Matrix:
+    return (
+        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
+        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
+    )
+
+
+def _run(content: bytes, page: Page, left: float, top: float) -> None:
+    """Executes the drawing operators; results have their origin at the top left."""
+    identity: Matrix = (1, 0, 0, 1, 0, 0)
+    ctm, saved = identity, []
+    text_m = line_m = identity
+    size, leading, width = 12.0, 0.0, 1.0
+    stack: list = []
+    path: list[tuple[float, float, float, float]] = []
+    at = start = (0.0, 0.0)
+
+    def point(x: float, y: float, m: Matrix) -> tuple[float, float]:
+        return m[0] * x + m[2] * y + m[4] - left, top - (m[1] * x + m[3] * y + m[5])
+
+    def show(value: str) -> None:
+        nonlocal text_m
+        m = _times(text_m, ctm)
+        scale = abs(m[3]) * size or size
+        step = 0.5 * size
+        for w in re.finditer(r"\S+", value):
+            x0, y = point(w.start() * step, 0, m)
+            x1, _ = point(w.end() * step, 0, m)
+            page.words.append((w.group(), x0, y - 0.8 * scale, x1, y + 0.2 * scale))
+        text_m = _times((1, 0, 0, 1, len(value) * step, 0), text_m)
+
+    for m in _TOKEN.finditer(content):
+        t = m.group()
+        if t[:1] in b"(<" and t not in (b"<<",):
+            stack.append(_text(t))
+        elif t[:1] in b"[]/" or t in (b"<<", b">>"):
+            stack.append(t)
+        elif re.fullmatch(_NUMBERS, t):
+            stack.append(float(t))
+        else:
+            n = [v for v in stack if isinstance(v, float)]
+            s = [v for v in stack if isinstance(v, str)]
+            if t == b"q":
+                saved.append((ctm, width))
+            elif t == b"Q" and saved:
+                ctm, width = saved.pop()
+            elif t == b"cm" and len(n) >= 6:
+                ctm = _times(tuple(n[-6:]), ctm)
+            elif t == b"BT":
+                text_m = line_m = identity
+            elif t == b"Tf" and n:
+                size = n[-1]
+            elif t == b"TL" and n:
+                leading = n[-1]
+            elif t in (b"Td", b"TD") and len(n) >= 2:
+                leading = -n[-1] if t == b"TD" else leading
+                text_m = line_m = _times((1, 0, 0, 1, n[-2], n[-1]), line_m)
+            elif t == b"Tm" and len(n) >= 6:
+                text_m = line_m = tuple(n[-6:])
+            elif t == b"T*" or (t in (b"'", b'"')):
+                text_m = line_m = _times((1, 0, 0, 1, 0, -leading), line_m)
+                if s:
+                    show(s[-1])
+            elif t == b"Tj" and s:
+                show(s[-1])
+            elif t == b"TJ":
+                show("".join(v if isinstance(v, str) else " " if isinstance(v, float) and v < -200 else "" for v in stack))
+            elif t == b"w" and n:
+                width = n[-1] or 1.0
+            elif t == b"m" and len(n) >= 2:
+                at = start = (n[-2], n[-1])
+            elif t == b"l" and len(n) >= 2:
+                path.append((*at, n[-2], n[-1]))
+                at = (n[-2], n[-1])
+            elif t == b"h":
+                path.append((*at, *start))
+                at = start
+            elif t == b"re" and len(n) >= 4:
+                x, y, w, h = n[-4:]
+                path += [(x, y + h, x + w, y + h), (x, y, x + w, y), (x, y, x, y + h), (x + w, y, x + w, y + h)]
+            elif t in (b"S", b"s", b"B", b"b", b"f", b"F", b"f*", b"B*", b"b*"):
+                for a, b, c, d in path:
+                    page.lines.append((*point(a, b, ctm), *point(c, d, ctm), width))
+                path = []
+            elif t == b"n":
+                path = []
+            elif t == b"Do":
+                (x0, y0), (x1, y1) = point(0, 0, ctm), point(1, 1, ctm)
+                page.images.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)))
+            stack = []
+
+
+Backend = Callable[[bytes], list[Page]]
+_BACKENDS: dict[str, Backend] = {"own": parse_pdf}
+
+
+def register_backend(name: str, parse: Backend) -> None:
+    """Makes a richer PDF library usable by name; it must be importable on executors."""
+    _BACKENDS[name] = parse
+
+
+def read_pdfs(spark: SparkSession, path: str, max_bytes: int = 250 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
+    """Files of a folder that may be read, and rejected ones with a reason."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    reason = F.when(~F.lower("path").endswith(".pdf"), "not_a_pdf").when(F.col("length") > max_bytes, "too_large")
+    checked = files.withColumn("reason", reason).withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+    return checked.where("reason IS NULL").select("source_file", "content"), checked.where("reason IS NOT NULL").select("source_file", "reason")
+
+
+def scan_pdfs(files: DataFrame, max_pages: int = 500, backend: str = "own") -> DataFrame:
+    """Everything on the pages of the files, read once: rows of kind word, line, image, page or error."""
+    parse = _BACKENDS[backend]
+    cols = ["source_file", "kind", "page_number", "item", "text", "x0", "y0", "x1", "y1", "thickness"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["source_file"], pdf["content"], strict=True):
+                rows: list[tuple] = []
+                try:
+                    pages = parse(bytes(content))
+                    if len(pages) > max_pages:
+                        raise PdfError("too_many_pages", f"{len(pages)} pages")
+                except PdfError as error:
+                    rows.append((name, "error", 0, 0, error.code, None, None, None, None, None))
+                    pages = []
+                item = 0
+                for no, p in enumerate(pages, 1):
+                    rows.append((name, "page", no, 0, None, 0.0, 0.0, p.width, p.height, None))
+                    for w in p.words:
+                        rows.append((name, "word", no, item, *w, None))
+                        item += 1
+                    rows += [(name, "line", no, k, None, *ln) for k, ln in enumerate(p.lines)]
+                    rows += [(name, "image", no, k, None, *im, None) for k, im in enumerate(p.images)]
+                yield pd.DataFrame(rows, columns=cols)
+
+    return files.mapInPandas(
+        run, "source_file string, kind string, page_number bigint, item bigint, text string, x0 double, y0 double, x1 double, y1 double, thickness double"
+    )
+
+
+def native_words(scan: DataFrame) -> DataFrame:
+    return scan.where("kind = 'word'").select(
+        "source_file", "page_number", F.col("item").alias("word_id"), "text", "x0", "y0", "x1", "y1",
+        F.lit(1.0).alias("confidence"), F.lit("native").alias("source"), F.lit("points").alias("coord_space"),
+    )
+
+
+def vector_lines(scan: DataFrame) -> DataFrame:
+    from gridloom.sources.layout import is_horizontal
+
+    return (
+        scan.where("kind = 'line'")
+        .select("source_file", "page_number", F.col("item").alias("line_id"), F.col("x0").alias("start_x"), F.col("y0").alias("start_y"), F.col("x1").alias("end_x"), F.col("y1").alias("end_y"), F.coalesce("thickness", F.lit(1.0)).alias("thickness"))
+        .withColumn("is_horizontal", is_horizontal())
+    )
+
+
+def image_areas(scan: DataFrame) -> DataFrame:
+    return scan.where("kind = 'image'").groupBy("source_file", "page_number").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("image_area"))
