@@ -20,9 +20,11 @@ class Trie:
     def __init__(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[dict[int, float]] = [{}]
+        self.longest = 0
 
     def add(self, path: str, ref: int, cost: float = 0.0) -> None:
         node = 0
+        self.longest = max(self.longest, len(path))
         for c in path:
             nxt = self.children[node].get(c)
             if nxt is None:
@@ -38,6 +40,8 @@ class Trie:
     def search(self, query: str, edits: int) -> dict[int, float]:
         """All entries with a path within ``edits``, each with its least cost."""
         n, window = len(query), 2 * edits + 2
+        if n > self.longest + edits:
+            return {}
         where: dict[str, int] = {}
         digits = 0
         for i, c in enumerate(query):

@@ -67,6 +67,8 @@ def solve_dual(
             if gap < 0 and slope <= 0:
                 continue
             worst = max(worst, abs(gap))
+            if abs(gap) <= tolerance:
+                continue
             step = gap * drawn / slope if slope > 1e-12 * drawn else math.copysign(1.0, gap)
             dual[s] -= max(-4.0, min(4.0, step))
         gaps.append(worst)
