@@ -9,6 +9,7 @@ member of each class becomes its canonical form, and rows get it by a join.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -93,12 +94,21 @@ def _composites() -> str:
     return "\x01".join(f"{k}\x02{v}" for k, v in pairs.items())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _looked_up(col: Column, pattern: str, table: str) -> Column:
+    """Every match of ``pattern`` replaced by its entry in a ``str_to_map`` text, if it has one."""
+    entries = F.expr(f"str_to_map('{table}', '\x01', '\x02')")
+    parts = F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(entries, x), x)), "")
+
+
 def compose(col: Column) -> Column:
     """Combining accents joined with their letter, where one composed letter exists."""
-    table = F.expr(f"str_to_map('{_composites()}', '\x01', '\x02')")
-    clusters = F.regexp_extract_all(col, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
-    joined = F.array_join(F.transform(clusters, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(col.rlike(r"\p{M}"), joined).otherwise(col)
+    return let(col, lambda v: F.when(v.rlike(r"\p{M}"), _looked_up(v, r"(?s)(\P{M}\p{M}*|\p{M}+)", _composites())).otherwise(v))
 
 
 _RUN = r"(?s)([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"
@@ -138,17 +148,20 @@ def one_script(run: Column, latin_only: bool) -> Column:
 def look_alike_map(value: Column, latin_only: bool = False) -> Column:
     """The value with every look-alike replaced; ASCII passes through untouched."""
     single, several = notation_variants()
-    v = F.regexp_replace(value, INVISIBLE, "")
-    v = F.regexp_replace(v, r"\p{Zs}", " ")
-    v = F.regexp_replace(v, f"[{HYPHENS}]", "-")
-    v = _translate(v, single)
-    table = F.expr("str_to_map('" + "\x01".join(f"{k}\x02{p}" for k, p in several.items()) + "', '\x01', '\x02')")
-    expanded = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(r"(?s)(.)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    v = F.when(v.rlike("[" + "".join(several) + "]"), expanded).otherwise(v)
-    v = _translate(v, LATIN_AS_LATIN)
-    v = compose(v)
-    runs = F.transform(F.regexp_extract_all(v, F.lit(_RUN), F.lit(1)), lambda r: F.when(r.rlike(r"[^\x00-\x7f]"), one_script(r, latin_only)).otherwise(r))
-    v = F.when(v.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), F.array_join(runs, "")).otherwise(v)
+
+    def expand(v: Column) -> Column:
+        table = "\x01".join(f"{k}\x02{p}" for k, p in several.items())
+        return F.when(v.rlike("[" + "".join(several) + "]"), _looked_up(v, r"(?s)(.)", table)).otherwise(v)
+
+    def unmix(v: Column) -> Column:
+        runs = F.transform(
+            F.regexp_extract_all(v, F.lit(_RUN), F.lit(1)), lambda r: F.when(r.rlike(r"[^\x00-\x7f]"), one_script(r, latin_only)).otherwise(r)
+        )
+        return F.when(v.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), F.array_join(runs, "")).otherwise(v)
+
+    v = F.regexp_replace(F.regexp_replace(value, INVISIBLE, ""), r"\p{Zs}", " ")
+    v = _translate(F.regexp_replace(v, f"[{HYPHENS}]", "-"), single)
+    v = let(compose(_translate(let(v, expand), LATIN_AS_LATIN)), unmix)
     return F.when(value.rlike(r"[^\x00-\x7f]"), v).otherwise(value)
 
 
