@@ -53,7 +53,8 @@ def text_lines(words: DataFrame, keys: list[str], tolerance: Column | float, alo
     at = (F.col("y0") + F.col("y1")) / 2 if along == "center_y" else F.col("y0")
     tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
     item = F.struct(at.alias("at"), "x0", "word_id", "text", "y1", "y0", "x1", "confidence")
-    grouped = words.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_words"), F.first(tol).alias("_tol"))
+    placed = words.where(at.isNotNull() & F.col("x0").isNotNull())
+    grouped = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_words"), F.first(tol).alias("_tol"))
     grouped = grouped.withColumn("_anchors", anchors_of(F.transform("_words", lambda w: w["at"]), F.col("_tol")))
     line = lambda w: F.size(F.filter("_anchors", lambda a: a <= w["at"])) - 1
     if along == "center_y":

@@ -17,15 +17,18 @@ def merge_words(words: DataFrame, same_place: float = 0.6, same_text: float = 0.
     OCR words are taken in order. One that covers no word so far is added. Else it is
     compared with the most similar word it covers: if they agree it is dropped, if not
     a warning is raised and the surer of the two stays, an OCR word then moving to the
-    end. OCR words also compete with OCR words taken before. What a word meets depends
-    on those before it, so a page is one group; it holds what fits on a page.
+    end. OCR words also compete with OCR words taken before. A word without a whole box
+    covers nothing and is kept. What a word meets depends on those before it, so a page
+    is one group; it holds what fits on a page.
     """
     flat = words.select(
         *PAGE, "word_id", "text", "x0", "y0", "x1", "y1", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "source"
-    ).where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
+    )
     out = "source_file string, page_number bigint, word_id bigint, position bigint, similarity double"
 
     def covers(a: dict, b: dict) -> float:
+        if any(r[e] is None for r in (a, b) for e in ("x0", "y0", "x1", "y1")):
+            return 0.0
         w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
         least = min((a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
         return w * h / least if w >= 0 and h >= 0 and least > 0 else 0.0

@@ -108,3 +108,15 @@ def test_merge(spark):
     weaker = [(*r[:8], 0.1, r[9]) if r[2] == 11 else r for r in ocr]
     kept, again = merge.merge_words(spark.createDataFrame(base + weaker, WORD))
     assert [r["text"] for r in kept.orderBy("position").collect()] == ["Model", "Serija", "novo"] and again.count() == 1
+
+
+def test_words_without_a_box(spark):
+    rows = [("f", 1, 0, "a", None, 0.0, 5.0, 5.0, None, "native"), ("f", 1, 1, "b", 0.0, 0.0, 5.0, 5.0, 0.9, "ocr"), ("f", 1, 2, None, 0.0, 0.0, 5.0, 5.0, 0.1, "ocr")]
+    merged, doubts = merge.merge_words(spark.createDataFrame(rows, WORD))
+    assert [r["word_id"] for r in merged.orderBy("position").collect()] == [0, 1] and doubts.count() == 1
+    from gridloom.operators import cluster
+
+    lines = cluster.text_lines(spark.createDataFrame(rows, WORD), ["page_number"], 3.0).collect()
+    assert {r["word_id"]: r["line_no"] for r in lines} == {1: 0, 2: 0}
+    g = grids.detect_grids(spark.createDataFrame(table_lines((0, 50, 100), (0, 20, 40)), LINE))
+    assert grids.assign_words(spark.createDataFrame(rows, WORD), g).count() == 2
