@@ -48,6 +48,11 @@ def found_grids(spark: SparkSession, base: str) -> DataFrame:
     return grids.detect_grids(lines(spark, base), TOLERANCE)
 
 
+def steady(col, scale: int = 10_000):
+    """Rounded by plain arithmetic, so that both engines agree on ties."""
+    return F.floor(col * scale + 0.5) / scale
+
+
 def page_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.max("x1").alias("page_width"), F.max("y1").alias("page_height"))
 
@@ -223,13 +228,13 @@ def p03(spark, base):
 
 @query(
     "p04_overlap_ratio",
-    f"WITH {PAGE_BOX} SELECT word_id, round(CASE WHEN least(w.x1, c.x1) >= greatest(w.x0, c.x0) AND least(w.y1, c.y1) >= greatest(w.y0, c.y0) AND least((w.x1 - w.x0) * (w.y1 - w.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) > 0 "
-    "THEN (least(w.x1, c.x1) - greatest(w.x0, c.x0)) * (least(w.y1, c.y1) - greatest(w.y0, c.y0)) / least((w.x1 - w.x0) * (w.y1 - w.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) ELSE 0 END, 4) AS ratio "
+    f"WITH {PAGE_BOX} SELECT word_id, floor((CASE WHEN least(w.x1, c.x1) >= greatest(w.x0, c.x0) AND least(w.y1, c.y1) >= greatest(w.y0, c.y0) AND least((w.x1 - w.x0) * (w.y1 - w.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) > 0 "
+    "THEN (least(w.x1, c.x1) - greatest(w.x0, c.x0)) * (least(w.y1, c.y1) - greatest(w.y0, c.y0)) / least((w.x1 - w.x0) * (w.y1 - w.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) ELSE 0 END) * 10000 + 0.5) / 10000 AS ratio "
     "FROM words w JOIN c USING (source_file, page_number)",
 )
 def p04(spark, base):
     df, w, c = with_middle(spark, base)
-    return df.select("word_id", F.round(w.overlap_ratio(c), 4).alias("ratio"))
+    return df.select("word_id", steady(w.overlap_ratio(c)).alias("ratio"))
 
 
 @query(
@@ -387,9 +392,9 @@ def f09(spark, base):
 # Joins ---------------------------------------------------------------------------------------
 
 
-@query("j01_word_cells", with_(PLACED, "SELECT word_id, grid_id, row, col, round(score, 4) AS score FROM placed"))
+@query("j01_word_cells", with_(PLACED, "SELECT word_id, grid_id, row, col, floor(score * 10000 + 0.5) / 10000 AS score FROM placed"))
 def j01(spark, base):
-    return grids.assign_words(words(spark, base), found_grids(spark, base)).select("word_id", "grid_id", "row", "col", F.round("score", 4).alias("score"))
+    return grids.assign_words(words(spark, base), found_grids(spark, base)).select("word_id", "grid_id", "row", "col", steady(F.col("score")).alias("score"))
 
 
 @query("j02_words_on_grids", with_(GRIDS, "SELECT word_id FROM words w WHERE EXISTS (SELECT 1 FROM grids g WHERE g.source_file = w.source_file AND g.page_number = w.page_number AND w.x0 <= g.x1 AND w.x1 >= g.x0 AND w.y0 <= g.y1 AND w.y1 >= g.y0)"))
