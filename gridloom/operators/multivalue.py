@@ -160,10 +160,14 @@ class Lattice:
                 first = self.atoms[i]
                 if i < j and (first[2] or last[2] or any(a[2] for a in self.atoms[i + 1 : j])):
                     break
+                if i < j and (first[0] == first[1] or last[0] == last[1]):
+                    continue  # a value neither begins nor ends with an empty slot
                 lo, hi = _bare(pattern, first, last)
                 text = pattern[lo:hi].replace(INVISIBLE, "")
                 if ALNUM in text:
-                    here.append((i, _SHAPE_BLANKS.sub(" ", text), j - i))
+                    # Separators on both sides of nothing mark a slot; hardly any value holds one.
+                    hollow = sum(ALNUM not in pattern[a[0] : a[1]] for a in self.atoms[i + 1 : j])
+                    here.append((i, _SHAPE_BLANKS.sub(" ", text), j - i + 3 * hollow))
                 elif i == j:
                     here.append((i, None, 0))
             self.edges.append(here)
@@ -276,12 +280,17 @@ def learn_shapes(patterns: DataFrame, model: SplitModel) -> Shapes:
                                 seen[f, s] += n
             yield pd.DataFrame([(f, s, float(n)) for (f, s), n in seen.items()], columns=["field", "shape", "n"])
 
+    # Every field has a value at least: what is new is rare from the start. One row a field.
+    sizes = {r["_field"]: float(r["n"]) for r in patterns.groupBy("_field").agg(F.sum("n").alias("n")).collect()}
+
     def gather(found: DataFrame) -> Shapes:
         sums = found.groupBy("field", "shape").agg(F.sum("n").alias("n"))
         totals = F.sum("n").over(Window.partitionBy("field"))
-        out: Shapes = {}
-        for r in sums.withColumn("total", totals).where(F.col("n") * model.kept >= F.col("total")).toLocalIterator():
-            out.setdefault(r["field"], ({}, r["total"]))[0][r["shape"]] = r["n"]
+        out: Shapes = {f: ({}, n) for f, n in sizes.items()}
+        for r in sums.withColumn("total", totals).where(F.col("n") * model.kept >= F.col("total")).collect():
+            known = out[r["field"]][0]
+            known[r["shape"]] = r["n"]
+            out[r["field"]] = (known, max(sizes[r["field"]], r["total"]))
         return out
 
     shapes = gather(patterns.mapInPandas(clear, schema))

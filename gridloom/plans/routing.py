@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import cluster, forms, grids, merge
+from gridloom.session import cut_lineage
 from gridloom.sinks import xlsx
+from gridloom.sources import pdf
 from gridloom.sources.layout import PAGE, page_analysis
 
 KEYS = list(PAGE)
@@ -38,6 +41,17 @@ class Options:
         if self.dpi > self.max_dpi or not 0 <= self.ocr_threshold <= 1:
             raise ValueError("dpi or threshold out of range")
 
+    @classmethod
+    def load(cls, path: str | Path) -> Options:
+        """Options from a JSON file; defaults where it does not exist or is silent."""
+        given = json.loads(Path(path).read_text("utf-8")) if Path(path).exists() else {}
+        known = {f.name for f in fields(cls)}
+        return cls(**{k: tuple(v) if k == "pages" else v for k, v in given.items() if k in known})
+
+    def save(self, path: str | Path) -> None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(asdict(self), indent=2, ensure_ascii=False), "utf-8")
+
 
 def route(pages: DataFrame, ocr_mode: Column | str, has_form_grid: Column, strict_never: bool = False) -> DataFrame:
     """Decisions for every page from its kind, the OCR mode and whether a form grid was drawn.
@@ -149,3 +163,27 @@ def convert(words: DataFrame, lines: DataFrame, options: Options = Options()) ->
         )
     )
     return Run(routed, read, found, cells, tables, records, items, warnings, options)
+
+
+def convert_pdfs(spark: SparkSession, folder: str, options: Options = Options(), backend: str = "own") -> tuple[Run, DataFrame]:
+    """The run over all PDF files of a folder, and the files it had to refuse with the reason.
+
+    Files are parsed once; words, rules and page facts come from the same rows, which
+    are written to the shared checkpoint folder.
+    """
+    files, refused = pdf.read_pdfs(spark, folder, options.max_size)
+    scan = cut_lineage(pdf.scan_pdfs(files, options.max_pages, backend))
+    failed = scan.where("kind = 'error'").select("source_file", F.col("text").alias("reason"))
+    return convert(pdf.native_words(scan), pdf.vector_lines(scan), options), refused.unionByName(failed)
+
+
+def progress(spark: SparkSession, tag: str) -> tuple[int, int]:
+    """Finished and known tasks of the running jobs of a tag or job group."""
+    tracker = spark.sparkContext.statusTracker()
+    done = known = 0
+    for job in tracker.getJobIdsForGroup(tag):
+        info = tracker.getJobInfo(job)
+        for stage in info.stageIds if info else ():
+            if facts := tracker.getStageInfo(stage):
+                done, known = done + facts.numCompletedTasks, known + facts.numTasks
+    return done, known

@@ -14,9 +14,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cpus=4, partitions=4, memory="4g")
+    session = local_session("tests", cpus=4, partitions=2, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # Tables here are tiny: compiling plans would take longer than running them.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 
