@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release_past(spark: SparkSession) -> None:
+    """Between rounds of an iteration: lets go of what past rounds left.
+
+    Spark drops shuffle files, broadcasts and checkpoints only when the driver's
+    collector finds that nothing refers to them; waiting for that to happen by itself
+    lets many rounds pile up on disk and in the driver.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
