@@ -50,8 +50,8 @@ class Box:
         return Box(F.greatest(self.x0, other.x0), F.greatest(self.y0, other.y0), F.least(self.x1, other.x1), F.least(self.y1, other.y1))
 
     def intersects(self, other: Box) -> Column:
-        """Touching counts."""
-        return self.meet(other).valid
+        """Touching counts; unknown where an edge is."""
+        return (self.x0 <= other.x1) & (self.x1 >= other.x0) & (self.y0 <= other.y1) & (self.y1 >= other.y0)
 
     def contains(self, other: Box) -> Column:
         """Edges included."""
