@@ -11,6 +11,7 @@ def main() -> int:
     parser.add_argument("folder", nargs="?")
     parser.add_argument("target", nargs="?", type=Path)
     parser.add_argument("--options", type=Path, help="JSON file with options of the run")
+    parser.add_argument("--engine", help="name of a registered OCR engine; without one, pages that need OCR are named and left out")
     parser.add_argument("--self-test", action="store_true")
     parser.add_argument("--output", type=Path, help="file for the report of --self-test")
     args = parser.parse_args()
@@ -25,10 +26,12 @@ def main() -> int:
 
     spark = local_session()
     options = routing.Options.load(args.options) if args.options else routing.Options()
-    run, refused = routing.convert_pdfs(spark, args.folder, options)
+    run, refused = routing.convert_pdfs(spark, args.folder, options, engine=args.engine)
     target = run.export(args.target or Path(args.folder).with_suffix(".xlsx"))
     for r in refused.toLocalIterator():
         print(f"{r['source_file']}: {r['reason']}")
+    for r in run.warnings.where("code IN ('OCR_UNAVAILABLE', 'RENDER_FAILED')").toLocalIterator():
+        print(f"{r['source_file']}, page {r['page_number']}: {r['code']}: {r['message']}")
     print(target)
     return 0
 

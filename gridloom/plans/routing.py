@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import cluster, forms, grids, merge
 from gridloom.session import cut_lineage
 from gridloom.sinks import xlsx
-from gridloom.sources import pdf
+from gridloom.sources import ocr, pdf, raster
 from gridloom.sources.layout import PAGE, page_analysis
 
 KEYS = list(PAGE)
@@ -131,19 +131,31 @@ class Run:
         return xlsx.write_workbook(sheets, target)
 
 
-def convert(words: DataFrame, lines: DataFrame, options: Options = Options()) -> Run:
-    """Words and ruled lines of any number of files to tables and form records, as one lazy plan."""
-    pages = page_analysis(words)
+def routes(pages: DataFrame, best: DataFrame, options: Options) -> DataFrame:
+    """The wanted pages with their routes; ``best`` has the form grid of each page."""
+    drawn = select_pages(pages, options.pages).join(best.select(*KEYS, F.col("accepted").alias("_form")), KEYS, "left")
+    return route(drawn, options.ocr_mode, F.coalesce(F.col("_form"), F.lit(False)), options.strict_never).drop("_form")
+
+
+def convert(
+    words: DataFrame, lines: DataFrame, options: Options = Options(), sizes: DataFrame | None = None,
+    pages: DataFrame | None = None, notes: DataFrame | None = None,
+) -> Run:
+    """Words and ruled lines of any number of files to tables and form records, as one lazy plan.
+
+    ``sizes`` has the pages with their sizes and ``pages`` their routes where they are
+    known, ``notes`` warnings that came before.
+    """
+    if pages is None and options.pages:
+        asked = F.broadcast(words.sparkSession.createDataFrame([(p,) for p in set(options.pages)], "page_number bigint"))  # as long as the list of an option
+        words, lines = words.join(asked, "page_number", "left_semi"), lines.join(asked, "page_number", "left_semi")
     good = usable_words(words, options.ocr_threshold)
     merged, doubts = merge.merge_words(good)
     read = merged.drop("position")
     found = grids.detect_grids(cluster.merge_collinear(lines))
-    size = read.groupBy(*KEYS).agg(F.max("x1").alias("page_width"), F.max("y1").alias("page_height"))
+    size = sizes if sizes is not None else read.groupBy(*KEYS).agg(F.max("x1").alias("page_width"), F.max("y1").alias("page_height"))
     best = grids.form_grid(found, size)
-    routed = route(
-        select_pages(pages, options.pages).join(best.select(*KEYS, F.col("accepted").alias("_form")), KEYS, "left"),
-        options.ocr_mode, F.coalesce(F.col("_form"), F.lit(False)), options.strict_never,
-    ).drop("_form")
+    routed = pages if pages is not None else routes(page_analysis(words), best, options)
     cells = grids.cell_table(read, found)
     matched = forms.match_templates(forms.page_text(read)).where("accepted").select(*KEYS, F.col("confidence").alias("template_confidence"))
     form = best.where("accepted").join(matched, KEYS)
@@ -162,19 +174,58 @@ def convert(words: DataFrame, lines: DataFrame, options: Options = Options()) ->
             F.lit("INVALID_DATE").alias("code"), F.lit("warning").alias("severity"), "message",
         )
     )
+    warnings = warnings.unionByName(notes, allowMissingColumns=True) if notes is not None else warnings
     return Run(routed, read, found, cells, tables, records, items, warnings, options)
 
 
-def convert_pdfs(spark: SparkSession, folder: str, options: Options = Options(), backend: str = "own") -> tuple[Run, DataFrame]:
+def convert_pdfs(
+    spark: SparkSession, folder: str, options: Options = Options(), backend: str = "own", renderer: str = "own",
+    engine: str | None = None, languages: tuple[str, ...] = ("any",),
+) -> tuple[Run, DataFrame]:
     """The run over all PDF files of a folder, and the files it had to refuse with the reason.
 
     Files are parsed once; words, rules and page facts come from the same rows, which
-    are written to the shared checkpoint folder.
+    are written to the shared checkpoint folder, and so are the pictures of the pages
+    that need one. ``engine`` names the registered OCR engine. A page that needs OCR and
+    cannot have it (no engine, or no picture) stays in the pages and has a warning; its
+    native words, if any, are then used.
     """
     files, refused = pdf.read_pdfs(spark, folder, options.max_size)
     scan = cut_lineage(pdf.scan_pdfs(files, options.max_pages, backend))
     failed = scan.where("kind = 'error'").select("source_file", F.col("text").alias("reason"))
-    return convert(pdf.native_words(scan), pdf.vector_lines(scan), options), refused.unionByName(failed)
+    native, drawn, sizes = pdf.native_words(scan), pdf.vector_lines(scan), pdf.page_sizes(scan)
+    best = grids.form_grid(grids.detect_grids(cluster.merge_collinear(drawn)), sizes)
+    routed = cut_lineage(routes(page_analysis(native, pdf.image_areas(scan), sizes), best, options))
+    wanted = routed.select(*KEYS, "use_native", "use_ocr", "merge_ocr", "needs_raster").distinct()
+    # Our own pictures show images and rules only, so a native page without images has nothing new on them.
+    shown = wanted.where("use_ocr OR merge_ocr") if renderer == "own" else wanted
+    pictures = shown.unionByName(wanted.join(pdf.image_areas(scan), KEYS, "left_semi")).distinct() if renderer == "own" else shown
+    rasters = cut_lineage(pdf.render_pages(files, pictures.where("needs_raster"), options.dpi, renderer))
+    good = rasters.where("reason IS NULL").drop("reason")
+    rules = raster.in_points(raster.raster_lines(good), good, sizes, ("start_x", "end_x"), ("start_y", "end_y"))
+    # A form grid drawn in the page itself is enough, unless OCR reads the picture.
+    rules = rules.join(best.where("accepted").select(*KEYS).join(wanted.where("use_ocr"), KEYS, "left_anti"), KEYS, "left_anti")
+    ocr_pages = wanted.where("use_ocr OR merge_ocr").select(*KEYS, "use_ocr")
+    note = lambda df, code, message: df.select(*KEYS, F.lit(code).alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
+    notes = note(ocr_pages.join(rasters.where("reason IS NOT NULL"), KEYS), "RENDER_FAILED", F.col("reason"))
+    able = good.select(*KEYS)
+    if engine is None:
+        notes = notes.unionByName(note(ocr_pages, "OCR_UNAVAILABLE", F.lit("The page needs OCR and no engine is named")))
+        able = able.limit(0)
+    words = native.join(wanted.where("use_native").select(*KEYS).unionByName(wanted.where("use_ocr").select(*KEYS).join(able, KEYS, "left_anti")), KEYS, "left_semi")
+    if engine is not None:
+        alone = good.join(ocr_pages.where("use_ocr"), KEYS, "left_semi")
+        beside = good.join(ocr_pages.where("NOT use_ocr"), KEYS, "left_semi")
+        seen = ocr.ocr_words(raster.without_rules(alone), engine, languages, options.ocr_threshold, "clean_scan").unionByName(
+            ocr.ocr_words(beside, engine, languages, options.ocr_threshold, "auto")
+        )
+        seen = raster.in_points(seen, good, sizes, ("x0", "x1"), ("y0", "y1"))
+        # Numbers of native words run through the file; those of OCR follow behind.
+        words = words.unionByName(seen.withColumns({"word_id": F.col("word_id") + 1_000_000_000, "coord_space": F.lit("points")}))
+    by_raster = ocr_pages.where("use_ocr").join(able, KEYS, "left_semi")
+    lines = drawn.join(wanted.select(*KEYS), KEYS, "left_semi").join(by_raster, KEYS, "left_anti").unionByName(rules.withColumn("line_id", F.col("line_id") + 1_000_000_000))
+    words, lines = cut_lineage(words), cut_lineage(lines)
+    return convert(words, lines, options, sizes, routed, notes), refused.unionByName(failed)
 
 
 def progress(spark: SparkSession, tag: str) -> tuple[int, int]:

@@ -59,10 +59,11 @@ def oriented(lines: DataFrame) -> DataFrame:
     return lines.withColumns(ends)
 
 
-def page_analysis(words: DataFrame, images: DataFrame | None = None) -> DataFrame:
+def page_analysis(words: DataFrame, images: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Statistics and kind of every page.
 
-    ``images`` optionally has ``image_area`` by page. Digital pages have at least 20
+    ``images`` optionally has ``image_area`` by page, ``sizes`` the ``page_width`` and
+    ``page_height`` of every page; without it only pages with words are known. Digital pages have at least 20
     characters in 4 words of which 55 % are usable; pages covered by images to 45 % or
     more are scans; pages that are both are mixed.
     """
@@ -75,16 +76,20 @@ def page_analysis(words: DataFrame, images: DataFrame | None = None) -> DataFram
         ((F.max("x1") - F.min("x0")) * (F.max("y1") - F.min("y0"))).alias("page_area"),
         F.count_if(F.col("source") == "ocr").alias("n_ocr"),
     )
+    if sizes is not None:
+        stats = sizes.join(stats, list(PAGE), "left").withColumns(
+            {"page_area": F.col("page_width") * F.col("page_height"), "word_count": F.coalesce("word_count", F.lit(0)), "usable": F.coalesce("usable", F.lit(0))}
+        )
     if images is not None:
         stats = stats.join(images, list(PAGE), "left").withColumn("image_area", F.coalesce("image_area", F.lit(0.0)))
     else:  # a page read by OCR is an image all over
         stats = stats.withColumn("image_area", F.when(F.col("n_ocr") > 0, F.col("page_area")).otherwise(0.0))
     share = lambda c: F.when(F.col("page_area") > 0, F.least(F.lit(1.0), F.col(c) / F.col("page_area"))).otherwise(0.0)
-    ratio = F.col("usable") / F.col("word_count")
+    ratio = F.when(F.col("word_count") > 0, F.col("usable") / F.col("word_count")).otherwise(0.0)
     digital = (F.col("character_count") >= 20) & (F.col("word_count") >= 4) & (ratio >= 0.55)
     out = stats.select(
         *PAGE, F.coalesce("character_count", F.lit(0)).alias("character_count"), "word_count",
-        share("word_area").alias("text_coverage"), share("image_area").alias("image_coverage"), ratio.alias("usable_word_ratio"),
+        F.coalesce(share("word_area"), F.lit(0.0)).alias("text_coverage") if sizes is not None else share("word_area").alias("text_coverage"), share("image_area").alias("image_coverage"), ratio.alias("usable_word_ratio"),
         F.coalesce(digital, F.lit(False)).alias("_digital"),
     )
     scan = F.col("image_coverage") >= 0.45

@@ -13,10 +13,13 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import imaging
+
 
 @dataclass
 class Page:
@@ -25,6 +28,8 @@ class Page:
     words: list[tuple[str, float, float, float, float]] = field(default_factory=list)
     lines: list[tuple[float, float, float, float, float]] = field(default_factory=list)
     images: list[tuple[float, float, float, float]] = field(default_factory=list)
+    #: Names of the images, in their order.
+    names: list[str] = field(default_factory=list)
 
 
 class PdfError(ValueError):
@@ -139,6 +144,7 @@ def _run(content: bytes, page: Page, left: float, top: float) -> None:
     stack: list = []
     path: list[tuple[float, float, float, float]] = []
     at = start = (0.0, 0.0)
+    called = ""
 
     def point(x: float, y: float, m: Matrix) -> tuple[float, float]:
         return m[0] * x + m[2] * y + m[4] - left, top - (m[1] * x + m[3] * y + m[5])
@@ -160,6 +166,7 @@ def _run(content: bytes, page: Page, left: float, top: float) -> None:
             stack.append(_text(t))
         elif t[:1] in b"[]/" or t in (b"<<", b">>"):
             stack.append(t)
+            called = t[1:].decode("latin-1") if t[:1] == b"/" else called
         elif re.fullmatch(_NUMBERS, t):
             stack.append(float(t))
         else:
@@ -212,9 +219,91 @@ def _run(content: bytes, page: Page, left: float, top: float) -> None:
             elif t == b"Do":
                 (x0, y0), (x1, y1) = point(0, 0, ctm), point(1, 1, ctm)
                 page.images.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)))
+                page.names.append(called)
             stack = []
 
 
+def render_pdf(data: bytes, number: int, dpi: int) -> np.ndarray:
+    """A gray picture of a page from its images and rules; raises :class:`PdfError` where it can show none.
+
+    Images are read if plain or Flate, of 1 or 8 bits, gray or RGB. There are no fonts,
+    so text is not drawn; a page of text alone cannot be rendered.
+    """
+    objects = {int(m.group(1)): m.group(3) for m in _OBJECT.finditer(data)}
+    kids = [k for k, body in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
+    node = _in_order(objects, kids)[number - 1]
+    page = _page(objects, node)
+    if not page.images:
+        raise PdfError("no_picture", "the page has no image and text is not drawn")
+    canvas = np.full((max(1, round(page.height * dpi / 72)), max(1, round(page.width * dpi / 72))), 255, np.uint8)
+    for rect, name in zip(page.images, page.names, strict=True):
+        canvas = np.minimum(canvas, imaging.place_image(_picture(objects, node, name), page.width, page.height, rect, dpi))
+    for x0, y0, x1, y1, _ in page.lines:
+        (a, c), (b, d) = sorted(round(v * dpi / 72) for v in (x0, x1)), sorted(round(v * dpi / 72) for v in (y0, y1))
+        if a == c or b == d:
+            canvas[max(0, b) : d + 1, max(0, a) : c + 1] = 0
+    return canvas
+
+
+def _picture(objects: dict[int, bytes], node: int, name: str) -> np.ndarray:
+    named = rb"/" + re.escape(name.encode("latin-1")) + rb"\s+(\d+)\s+\d+\s+R"
+    ref = _inherited(objects, node, named)
+    for pattern in (rb"/Resources\s+(\d+)\s+\d+\s+R", rb"/XObject\s+(\d+)\s+\d+\s+R"):
+        if not ref and (held := _inherited(objects, node, pattern)):
+            node = int(held.group(1))
+            ref = re.search(named, objects.get(node, b""))
+    body = objects.get(int(ref.group(1)), b"") if ref else b""
+    m = _STREAM.search(body)
+    head = body[: m.start()] if m else body
+    number = lambda key: int(f.group(1)) if (f := re.search(rb"/" + key + rb"\s+(\d+)", head)) else 0
+    w, h, bits = number(b"Width"), number(b"Height"), number(b"BitsPerComponent")
+    depth = 3 if b"/DeviceRGB" in head else 1 if b"/DeviceGray" in head else 0
+    plain = not re.search(rb"/(?:DCT|JPX|CCITTFax|JBIG2|LZW|RunLength|ASCII\w+)Decode|/DecodeParms|/Decode\b", head)
+    raw = _stream(body)
+    row = (w * depth * bits + 7) // 8
+    if not plain or not depth or (bits, depth) not in ((1, 1), (8, 1), (8, 3)) or len(raw) < row * h or not w * h:
+        raise PdfError("unreadable_image", f"image {name} is in a form that is not read")
+    cells = np.frombuffer(raw[: row * h], np.uint8).reshape(h, row)
+    if bits == 1:
+        return np.unpackbits(cells, axis=1)[:, :w] * np.uint8(255)
+    return imaging.to_gray(cells.reshape(h, w, 3)).astype(np.uint8) if depth == 3 else cells
+
+
+Renderer = Callable[[bytes, int, int], np.ndarray]
+_RENDERERS: dict[str, Renderer] = {"own": render_pdf}
+
+
+def register_renderer(name: str, render: Renderer) -> None:
+    """Makes a library that draws pages usable by name: content, page number from 1 and dpi to a gray or RGB picture."""
+    _RENDERERS[name] = render
+
+
+def render_pages(files: DataFrame, wanted: DataFrame, dpi: int = 300, renderer: str = "own") -> DataFrame:
+    """Gray pictures of the ``wanted`` pages, or the ``reason`` why there is none; one page at a time.
+
+    ``wanted`` has ``use_ocr`` by page: what is read by OCR alone is turned upright first.
+    """
+    draw = _RENDERERS[renderer]
+    asked = wanted.groupBy("source_file").agg(F.array_sort(F.collect_set(F.struct("page_number", "use_ocr"))).alias("asked"))
+    cols = ["source_file", "page_number", "height", "width", "pixels", "reason"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content, pages in zip(pdf["source_file"], pdf["content"], pdf["asked"], strict=True):
+                for p in pages:
+                    try:
+                        image = imaging.to_gray(draw(bytes(content), int(p["page_number"]), dpi)).astype(np.uint8)
+                        image = imaging.deskew(image) if p["use_ocr"] else image
+                        row = (name, p["page_number"], *image.shape, np.ascontiguousarray(image).tobytes(), None)
+                    except (ValueError, OSError, KeyError, IndexError) as error:
+                        row = (name, p["page_number"], None, None, None, str(error))
+                    yield pd.DataFrame([row], columns=cols).astype({"height": "Int32", "width": "Int32"})
+
+    return files.join(asked, "source_file").mapInPandas(
+        run, "source_file string, page_number bigint, height int, width int, pixels binary, reason string"
+    )
+
+
 Backend = Callable[[bytes], list[Page]]
 _BACKENDS: dict[str, Backend] = {"own": parse_pdf}
 
@@ -282,3 +371,8 @@ def vector_lines(scan: DataFrame) -> DataFrame:
 
 def image_areas(scan: DataFrame) -> DataFrame:
     return scan.where("kind = 'image'").groupBy("source_file", "page_number").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("image_area"))
+
+
+def page_sizes(scan: DataFrame) -> DataFrame:
+    """Every page of the files with its size in points, also pages without words."""
+    return scan.where("kind = 'page'").select("source_file", "page_number", F.col("x1").alias("page_width"), F.col("y1").alias("page_height"))

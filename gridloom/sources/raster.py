@@ -75,6 +75,27 @@ def raster_lines(rasters: DataFrame, share: float = 0.08) -> DataFrame:
     )
 
 
+def without_rules(rasters: DataFrame, share: float = 0.08) -> DataFrame:
+    """The pictures with their rules painted over, so that OCR meets letters only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                _, _, flat, tall = imaging.ruled_lines(pixels_of(r), share)
+                image = np.ascontiguousarray(imaging.erase_lines(pixels_of(r), flat, tall), np.uint8)
+                yield pd.DataFrame([(r.source_file, r.page_number, *image.shape, image.tobytes())], columns=["source_file", "page_number", "height", "width", "pixels"])
+
+    return rasters.select("source_file", "page_number", "height", "width", "pixels").mapInPandas(run, RASTER_SCHEMA)
+
+
+def in_points(rows: DataFrame, rasters: DataFrame, sizes: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> DataFrame:
+    """Pixel coordinates of page pictures as points of the page."""
+    k = rasters.select(*PAGE, "width", "height").join(sizes, list(PAGE)).select(
+        *PAGE, (F.col("page_width") / F.col("width")).alias("_kx"), (F.col("page_height") / F.col("height")).alias("_ky")
+    )
+    return rows.join(k, list(PAGE)).withColumns({x: F.col(x) * F.col("_kx") for x in xs} | {y: F.col(y) * F.col("_ky") for y in ys}).drop("_kx", "_ky")
+
+
 def words_with_ink(words: DataFrame, rasters: DataFrame) -> DataFrame:
     """Single-letter native words with whether their place on the picture holds ink.
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 import zlib
 
+import numpy as np
+
 from gridloom import doctor
 from gridloom.plans import routing
 from tests.test_sinks_sources import read
@@ -33,6 +35,46 @@ def test_pdf_to_workbook(spark, tmp_path):
     assert rows == [["Ime", "Telefon", "Iznos"], ["Ana", "0641234567", "12"], ["Ivo", "'=cmd()", "1.5"], ["Mia", "05.01.2026", "46027.0"]]
 
 
+def scanned_pdf(natives: bool = False) -> bytes:
+    """A page that is one picture: a ruled table of four rows and three columns with a blob in each cell."""
+    image = np.full((842, 595), 255, np.uint8)
+    xs, ys = (72, 220, 370, 520), (140, 180, 220, 260, 300)
+    for y in ys:
+        image[y : y + 2, xs[0] : xs[-1] + 2] = 0
+    for x in xs:
+        image[ys[0] : ys[-1] + 2, x : x + 2] = 0
+    for y in ys[:-1]:
+        for x in xs[:-1]:
+            image[y + 14 : y + 26, x + 40 : x + 54] = 0
+    text = " BT /F1 10 Tf 1 0 0 1 72 60 Tm (Nekoliko sasvim obicnih reci ispod tabele) Tj ET" if natives else ""
+    body, pixels = f"q 595 0 0 842 0 0 cm /Im0 Do Q{text}".encode(), zlib.compress(image.tobytes())
+    objs = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>",
+            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 4 0 R /Resources << /XObject << /Im0 5 0 R >> >> >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body),
+            b"<< /Type /XObject /Subtype /Image /Width 595 /Height 842 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(pixels), pixels)]
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i, o) for i, o in enumerate(objs, 1)) + b"\ntrailer << /Root 1 0 R >>"
+
+
+def test_scanned_pages_are_read(spark, tmp_path):
+    (tmp_path / "scan.pdf").write_bytes(scanned_pdf())
+    (tmp_path / "both.pdf").write_bytes(scanned_pdf(natives=True))
+    run, _ = routing.convert_pdfs(spark, str(tmp_path), routing.Options(dpi=72), engine="blobs")
+    assert {r["source_file"]: (r["page_type"], r["extraction_source"]) for r in run.pages.collect()} == {"scan.pdf": ("scanned", "ocr"), "both.pdf": ("mixed", "hybrid")}
+    table = {(r["row"], r["col"]): r["text"] for r in run.tables.where("source_file = 'scan.pdf'").collect()}
+    assert len(table) == 12 and all(set(t) == {"x"} for t in table.values())
+    sources = {(r["source_file"], r["source"]) for r in run.words.select("source_file", "source").distinct().collect()}
+    assert sources == {("scan.pdf", "ocr"), ("both.pdf", "ocr"), ("both.pdf", "native")}
+
+
+def test_scanned_pages_are_named_without_engine(spark, tmp_path):
+    (tmp_path / "scan.pdf").write_bytes(scanned_pdf())
+    (tmp_path / "table.pdf").write_bytes(table_pdf())
+    run, _ = routing.convert_pdfs(spark, str(tmp_path), routing.Options(dpi=72))
+    assert {r["source_file"]: r["pages_processed"] for r in run.counters().collect()} == {"scan.pdf": 1, "table.pdf": 1}
+    assert [(r["source_file"], r["code"]) for r in run.warnings.collect()] == [("scan.pdf", "OCR_UNAVAILABLE")]
+    left, _ = routing.convert_pdfs(spark, str(tmp_path), routing.Options(dpi=72, pages=(2,)))
+    assert left.pages.count() == left.words.count() == left.tables.count() == 0
+
+
 def test_options_round_trip(tmp_path):
     path = tmp_path / "a" / "options.json"
     assert routing.Options.load(path) == routing.Options()
