@@ -639,11 +639,23 @@ def x01(spark, base):
     return routing.route(pages, F.col("ocr_mode"), F.lit(False)).groupBy("ocr_mode", "page_type", "extraction_source", "merge_ocr", "use_ocr").agg(F.count(F.lit(1)).alias("n"))
 
 
+def whole_run(spark, base) -> routing.Run:
+    return routing.convert(words(spark, base), lines(spark, base))
+
+
 @query("x02_form_records")
 def x02(spark, base):
-    w = words(spark, base)
-    run = routing.convert(w, lines(spark, base))
-    return run.counters()
+    return whole_run(spark, base).forms()
+
+
+@query("x02_run_counters")
+def x02_counters(spark, base):
+    return whole_run(spark, base).counters()
+
+
+@query("x02_run_warnings")
+def x02_warnings(spark, base):
+    return whole_run(spark, base).warnings
 
 
 # Sorts, limits, sets -------------------------------------------------------------------------

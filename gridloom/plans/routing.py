@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import cluster, forms, grids, merge
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, release_past
 from gridloom.sinks import xlsx
 from gridloom.sources import ocr, pdf, raster
 from gridloom.sources.layout import PAGE, page_analysis
@@ -122,6 +122,10 @@ class Run:
         out = pages.join(tables, "source_file", "left").join(items, "source_file", "left")
         return out.fillna(0, ["tables", "records"])
 
+    def forms(self) -> DataFrame:
+        """Every page with its route and, where it is a form, its fields and items."""
+        return self.pages.select(*KEYS, "page_type", "extraction_source").join(self.records, KEYS, "left")
+
     def export(self, target: str | Path) -> Path:
         sheets: list[xlsx.Sheet] = []
         if self.options.output_mode in ("structured", "both") and self.records.limit(1).count():
@@ -141,8 +145,10 @@ def convert(
     words: DataFrame, lines: DataFrame, options: Options = Options(), sizes: DataFrame | None = None,
     pages: DataFrame | None = None, notes: DataFrame | None = None,
 ) -> Run:
-    """Words and ruled lines of any number of files to tables and form records, as one lazy plan.
+    """Words and ruled lines of any number of files to tables and form records.
 
+    What several results share (merged words, grids, cells) is written to the shared
+    checkpoint folder once; the results themselves are lazy.
     ``sizes`` has the pages with their sizes and ``pages`` their routes where they are
     known, ``notes`` warnings that came before.
     """
@@ -151,14 +157,16 @@ def convert(
         words, lines = words.join(asked, "page_number", "left_semi"), lines.join(asked, "page_number", "left_semi")
     good = usable_words(words, options.ocr_threshold)
     merged, doubts = merge.merge_words(good)
-    read = merged.drop("position")
-    found = grids.detect_grids(cluster.merge_collinear(lines))
+    read = cut_lineage(merged.drop("position"))
+    found = cut_lineage(grids.detect_grids(cluster.merge_collinear(lines)))
     size = sizes if sizes is not None else read.groupBy(*KEYS).agg(F.max("x1").alias("page_width"), F.max("y1").alias("page_height"))
     best = grids.form_grid(found, size)
     routed = pages if pages is not None else routes(page_analysis(words), best, options)
-    cells = grids.cell_table(read, found)
+    release_past(words.sparkSession)
+    cells = cut_lineage(grids.cell_table(read, found))
     matched = forms.match_templates(forms.page_text(read)).where("accepted").select(*KEYS, F.col("confidence").alias("template_confidence"))
-    form = best.where("accepted").join(matched, KEYS)
+    form = cut_lineage(best.where("accepted").join(matched, KEYS))
+    release_past(words.sparkSession)
     form_cells = cells.join(form.select(*KEYS, "grid_id"), [*KEYS, "grid_id"], "left_semi")
     items = forms.equipment_rows(form_cells, options.keep_empty_rows)
     records = forms.form_records(read, form, form_cells)

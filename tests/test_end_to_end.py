@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from gridloom import doctor
-from gridloom.plans import routing
+from gridloom.plans import reference, routing
 from tests.test_sinks_sources import read
 
 
@@ -75,6 +75,13 @@ def test_scanned_pages_are_named_without_engine(spark, tmp_path):
     assert left.pages.count() == left.words.count() == left.tables.count() == 0
 
 
+def test_form_records_of_every_page(spark, small):
+    got = reference.QUERIES["x02_form_records"](spark, small)
+    assert {"person_name", "handed_over_by", "received_by", "handover_date", "items"} <= set(got.columns)
+    pages = {tuple(r) for r in reference.words(spark, small).select("source_file", "page_number").distinct().collect()}
+    assert sorted(pages) == sorted((r["source_file"], r["page_number"]) for r in got.collect())
+
+
 def test_options_round_trip(tmp_path):
     path = tmp_path / "a" / "options.json"
     assert routing.Options.load(path) == routing.Options()
