@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as T
 from gridloom.operators import cluster, forms, grids, merge
 from gridloom.session import cut_lineage, release_past
 from gridloom.sinks import xlsx
@@ -97,6 +98,15 @@ def first_available(first: DataFrame, second: DataFrame, keys: list[str]) -> Dat
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
 
 
+def word_tables(words: DataFrame) -> DataFrame:
+    """A table of each page without rules: a row for each row of words, a cell for each word."""
+    rows = cluster.text_lines(words, KEYS, 4.0, along="top")
+    return rows.select(
+        *KEYS, F.lit(1).cast("bigint").alias("table_index"), F.col("line_no").cast("int").alias("row"), F.col("place").cast("int").alias("col"),
+        T.normalize_text(F.coalesce("text", F.lit(""))).alias("text"), "confidence",
+    )
+
+
 @dataclass
 class Run:
     """What a run found; all DataFrames are lazy."""
@@ -171,7 +181,9 @@ def convert(
     items = forms.equipment_rows(form_cells, options.keep_empty_rows)
     records = forms.form_records(read, form, form_cells)
     scores = grids.grid_scores(cells, found, size)
-    tables = grids.clean_tables(grids.ruled_tables(cells, scores), [*KEYS, "table_index"])
+    ruled = grids.clean_tables(grids.ruled_tables(cells, scores), [*KEYS, "table_index"])
+    plain = read.join(form.select(*KEYS), KEYS, "left_anti")
+    tables = first_available(ruled, grids.clean_tables(word_tables(plain), [*KEYS, "table_index"]), KEYS)
     _, dates = forms.footer_fields(read, form)
     blank = lambda t: F.lit(None).cast(t)
     warnings = doubts.select(

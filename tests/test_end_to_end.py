@@ -10,13 +10,13 @@ from gridloom.plans import reference, routing
 from tests.test_sinks_sources import read
 
 
-def table_pdf() -> bytes:
-    """A ruled table of four rows and three columns on one page."""
+def table_pdf(ruled: bool = True) -> bytes:
+    """A table of four rows and three columns on one page."""
     xs, ys = (72, 220, 370, 520), (700, 660, 620, 580, 540)
     draw = [f"{xs[0]} {y} m {xs[-1]} {y} l S" for y in ys] + [f"{x} {ys[0]} m {x} {ys[-1]} l S" for x in xs]
     cells = [("Ime", "Telefon", "Iznos"), ("Ana", "0641234567", "12"), ("Ivo", "=cmd()", "1,5"), ("Mia", "05.01.2026", "5.1.2026")]
     text = [f"BT /F1 10 Tf 1 0 0 1 {xs[c] + 10} {ys[r] - 25} Tm ({v.replace('(', chr(92) + '(').replace(')', chr(92) + ')')}) Tj ET" for r, row in enumerate(cells) for c, v in enumerate(row)]
-    body = zlib.compress("\n".join(draw + text).encode("cp1252"))
+    body = zlib.compress("\n".join(draw * ruled + text).encode("cp1252"))
     objs = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>",
             b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 4 0 R >>", b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(body), body)]
     return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i, o) for i, o in enumerate(objs, 1)) + b"\ntrailer << /Root 1 0 R >>"
@@ -35,6 +35,14 @@ def test_pdf_to_workbook(spark, tmp_path):
     assert rows == [["Ime", "Telefon", "Iznos"], ["Ana", "0641234567", "12"], ["Ivo", "'=cmd()", "1.5"], ["Mia", "05.01.2026", "46027.0"]]
 
 
+def test_borderless_page_keeps_its_words(spark, tmp_path):
+    (tmp_path / "table.pdf").write_bytes(table_pdf(ruled=False))
+    run, _ = routing.convert_pdfs(spark, str(tmp_path))
+    assert run.counters().first()["tables"] == 1
+    rows = [[a or b for a, b in row] for row in read(run.export(tmp_path / "out.xlsx"))["Stranica 1 Tabela 1"]]
+    assert rows == [["Ime", "Telefon", "Iznos"], ["Ana", "0641234567", "12"], ["Ivo", "'=cmd()", "1.5"], ["Mia", "05.01.2026", "46027.0"]]
+
+
 def scanned_pdf(natives: bool = False) -> bytes:
     """A page that is one picture: a ruled table of four rows and three columns with a blob in each cell."""
     image = np.full((842, 595), 255, np.uint8)
