@@ -208,6 +208,15 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((n == F.length(b)) & (F.levenshtein(a, b) == 2) & (swapped == b))
 
 
+#: A spelling this many times rarer than another is a slip of it, however often it stands.
+SLIP_RATIO = 4
+
+
+def slip(a: Column, b: Column, rare: int) -> Column:
+    """Whether one of two supports is so small, in itself or beside the other, that it may be a slip."""
+    return (F.least(a, b) <= rare) | (F.least(a, b) * SLIP_RATIO <= F.greatest(a, b))
+
+
 def _merge_round(profiles: DataFrame, rare: int) -> DataFrame:
     """Edges ``a, b`` between profiles that match now.
 
@@ -224,8 +233,8 @@ def _merge_round(profiles: DataFrame, rare: int) -> DataFrame:
     tries = hub.select("pid", "middle", "surname", "support", F.explode(F.array("hub", "prev")).alias("o")).where("o IS NOT NULL AND o.pid <> pid")
     fits = (
         ((F.col("middle") == "") | (F.col("o.middle") == "") | (F.col("middle") == F.col("o.middle")))
-        # A slip is rare in itself; two well supported spellings are two names.
-        & ((F.col("surname") == F.col("o.surname")) | (F.least("support", F.col("o.support")) <= rare))
+        # A slip is rare, in itself or beside the other; two well supported spellings are two names.
+        & ((F.col("surname") == F.col("o.surname")) | slip(F.col("support"), F.col("o.support"), rare))
         & one_edit(F.col("surname"), F.col("o.surname"))
     )
     return tries.where(fits).select(F.col("pid").alias("a"), F.col("o.pid").alias("b")).distinct()
@@ -264,13 +273,15 @@ def resolve_people(
         parser = NameParser(lexicon)
         for pdf in batches:
             parts = pd.DataFrame([parser.parse(p) for p in pdf["plain"]], columns=["surname", "givens", "initial", "middle"], index=pdf.index)
-            yield pd.concat([pdf[["raw", "n"]], parts], axis=1)
+            yield pd.concat([pdf[["raw", "n", "plain"]], parts], axis=1)
 
     parsed = cut_lineage(
-        plain.mapInPandas(parse, "raw string, n bigint, surname string, givens array<string>, initial string, middle string").where("surname <> ''")
+        plain.mapInPandas(parse, "raw string, n bigint, plain string, surname string, givens array<string>, initial string, middle string").where("surname <> ''")
     )
     forms = cut_lineage(learn_short_forms(parsed, given_names))
-    support = parsed.groupBy("surname").agg(F.count(F.lit(1)).alias("support"))
+    # One writing in several disguises supports its surname once.
+    support = parsed.groupBy("surname").agg(F.count_distinct("plain").alias("support"))
+    parsed = parsed.drop("plain")
     meant = (
         parsed.select("raw", F.explode("givens").alias("given")).join(forms, "given").groupBy("raw").agg(F.array_sort(F.collect_set("full")).alias("fulls"))
     )
@@ -344,7 +355,7 @@ def _attach(loose: DataFrame, known: DataFrame, forms: DataFrame, together: Data
     wanted = loose.select("raw", "surname", "support", "initial", "middle", "fulls", F.explode(deletions(F.col("surname"))).alias("key"))
     near = (
         wanted.join(keyed, "key")
-        .where((F.col("surname") == F.col("e_surname")) | ((F.least("support", "e_support") <= rare) & one_edit(F.col("surname"), F.col("e_surname"))))
+        .where((F.col("surname") == F.col("e_surname")) | (slip(F.col("support"), F.col("e_support"), rare) & one_edit(F.col("surname"), F.col("e_surname"))))
         .groupBy("raw", "entity", "initial", "middle", "fulls")
         .agg(F.max((F.col("surname") == F.col("e_surname")).cast("int")).alias("same"))
     )

@@ -48,6 +48,13 @@ def test_context_decides_between_two(spark):
     assert tuple(sorted(("T. Planuninski", "Torza Planuninski"))) in got
 
 
+def test_slip_is_judged_beside_the_other_spelling(spark):
+    own = [form.format(g) for g in NAMES for form in ("{} Žumaljarganin", "Žumaljarganin, {}", "dr {} Žumaljarganin", "mr {} Žumaljarganin")]
+    slips = [f"{g} Zuumaljarganin" for g in ("Jovan", "Petar", "Marko")]
+    got = people(spark, OTHERS + own + slips)
+    assert all(tuple(sorted((s, s.replace("Zuum", "Žum")))) in got for s in slips)
+
+
 def test_degenerate_names(spark):
     assert people(spark, ["", " ", "-", "x"]) == set()
     long = "Ana " + "x" * 50_000
