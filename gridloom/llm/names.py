@@ -217,31 +217,36 @@ def slip(a: Column, b: Column, rare: int) -> Column:
     return (F.least(a, b) <= rare) | (F.least(a, b) * SLIP_RATIO <= F.greatest(a, b))
 
 
-def _merge_round(profiles: DataFrame, rare: int) -> DataFrame:
-    """Edges ``a, b`` between profiles that match now.
-
-    Blocks hold profiles of one full name whose surnames share a spelling or a
-    spelling less one letter; in each block all are compared with its best supported
-    spelling, so a block yields fewer edges than members.
+def near_surnames(support: DataFrame, rare: int) -> DataFrame:
+    """``s, t``: surnames (with ``support``) that may be one, both ways round, and every surname with itself."""
+    keyed = support.select("surname", "support", F.explode(deletions(F.col("surname"))).alias("key"))
+    a = keyed.select(F.col("surname").alias("s"), F.col("support").alias("s_support"), "key")
+    b = keyed.select(F.col("surname").alias("t"), F.col("support").alias("t_support"), "key")
+    # A slip is rare, in itself or beside the other; two well supported spellings are two names.
+    fits = (F.col("s") != F.col("t")) & slip(F.col("s_support"), F.col("t_support"), rare) & one_edit(F.col("s"), F.col("t"))
+    return a.join(b, "key").where(fits).select("s", "t").distinct().unionByName(support.select(F.col("surname").alias("s"), F.col("surname").alias("t")))
+
+
+def _merge_round(profiles: DataFrame, near: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that link all profiles that match now.
+
+    Profiles of one full name, surname and middle initial all match each other, so each
+    is joined to one hub only, and hubs of near surnames and agreeing initials to each
+    other: every matching pair is linked, by fewer edges than there are pairs.
     """
-    spelled = profiles.select("pid", "middle", F.explode("spellings").alias("s"), "full").select("pid", "middle", "full", "s.surname", "s.support")
-    keyed = spelled.withColumn("key", F.explode(deletions(F.col("surname"))))
-    best = Window.partitionBy("full", "key").orderBy(F.desc("support"), "surname", "pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hub = keyed.withColumn("hub", F.first(F.struct("pid", "middle", "surname", "support")).over(best))
-    prev = Window.partitionBy("full", "key").orderBy(F.desc("support"), "surname", "pid")
-    hub = hub.withColumn("prev", F.lag(F.struct("pid", "middle", "surname", "support")).over(prev))
-    tries = hub.select("pid", "middle", "surname", "support", F.explode(F.array("hub", "prev")).alias("o")).where("o IS NOT NULL AND o.pid <> pid")
-    fits = (
-        ((F.col("middle") == "") | (F.col("o.middle") == "") | (F.col("middle") == F.col("o.middle")))
-        # A slip is rare, in itself or beside the other; two well supported spellings are two names.
-        & ((F.col("surname") == F.col("o.surname")) | slip(F.col("support"), F.col("o.support"), rare))
-        & one_edit(F.col("surname"), F.col("o.surname"))
-    )
-    return tries.where(fits).select(F.col("pid").alias("a"), F.col("o.pid").alias("b")).distinct()
+    spelled = profiles.select("pid", "middle", "full", F.explode("spellings").alias("surname"))
+    hubs = spelled.groupBy("full", "surname", "middle").agg(F.min("pid").alias("hub"))
+    own = spelled.join(hubs, ["full", "surname", "middle"]).where("pid <> hub").select(F.col("pid").alias("a"), F.col("hub").alias("b"))
+    one = hubs.select("full", F.col("surname").alias("s"), F.col("middle").alias("ma"), F.col("hub").alias("a"))
+    other = hubs.select("full", F.col("surname").alias("t"), F.col("middle").alias("mb"), F.col("hub").alias("b"))
+    agree = (F.col("ma") == "") | (F.col("mb") == "") | (F.col("ma") == F.col("mb"))
+    across = one.join(near, "s").join(other, ["full", "t"]).where(agree & (F.col("a") < F.col("b"))).select("a", "b")
+    # Counted, because a plain distinct over this union cannot be checkpointed (Spark loses a column).
+    return own.unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolve_people(
-    strings: DataFrame, given_names: DataFrame, together: DataFrame | None = None, rare: int = 2, max_rounds: int = 10
+    strings: DataFrame, given_names: DataFrame, together: DataFrame | None = None, rare: int = 2
 ) -> DataFrame:
     """``entity, raw``: which strings may be written for one person.
 
@@ -255,9 +260,9 @@ def resolve_people(
     letters matches only itself. Repeated rows are one string; ties between persons go
     to the one written most, then to the smaller key; an empty table gives no rows.
 
-    Scale: everything after the first aggregation is per distinct string. Blocks hold
-    one full name and one spelling less a letter, so a frequent surname is many blocks,
-    and in a block members are compared with its best and their neighbour only.
+    Scale: everything after the first aggregation is per distinct string. Surnames are
+    compared once each, by spellings less a letter; profiles of one full name, surname
+    and middle initial meet the others through one of them.
     """
 
     def simplify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,21 +298,21 @@ def resolve_people(
     )
     # Merge and rematch: profiles grow until no two of them match.
     member = records.select("pid", F.col("pid").alias("entity"))
-    for _ in range(max_rounds):
+    near = cut_lineage(near_surnames(records.select("surname", "support").distinct(), rare))
+    while True:  # a round merges at least two profiles
         profiles = (
             records.join(member, "pid")
             .groupBy("entity")
             .agg(
                 F.min("full").alias("full"), F.max("middle").alias("middle"),
-                F.collect_set(F.struct("surname", "support")).alias("spellings"),
+                F.collect_set("surname").alias("spellings"), F.sum("n").alias("weight"),
             )
             .withColumnRenamed("entity", "pid")
         )
         release_past(strings.sparkSession)
-        edges = cut_lineage(_merge_round(profiles, rare))
+        edges = cut_lineage(_merge_round(profiles, near)).select("a", "b")
         if not edges.limit(1).count():
             break
-        # One partner a round: the best supported comes first, so a chain cannot drag two names together.
         roots = components(_agreeing(edges, profiles))
         member = cut_lineage(
             member.join(roots, member["entity"] == roots["node"], "left").select("pid", F.coalesce("root", "entity").alias("entity"))
@@ -325,17 +330,19 @@ def resolve_people(
 
 
 def _agreeing(edges: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Edges among which no profile without a middle initial joins two with different ones."""
-    middle = profiles.select("pid", "middle")
-    e = edges.join(middle.select(F.col("pid").alias("a"), F.col("middle").alias("ma")), "a").join(
-        middle.select(F.col("pid").alias("b"), F.col("middle").alias("mb")), "b"
+    """Edges that cannot join profiles with different middle initials, not even by a chain.
+
+    A profile without a middle initial takes that of its neighbour written most, and
+    keeps the edges to profiles of that initial. One that has no such neighbour waits
+    for those it meets to have theirs. Some edge is always kept.
+    """
+    about = profiles.select(F.col("pid").alias("b"), F.col("middle").alias("mb"), "weight")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    likely = both.join(about, "b").where("mb <> ''").groupBy("a").agg(F.max_by("mb", F.struct("weight", "b")).alias("likely"))
+    settled = profiles.select(F.col("pid").alias("a"), "middle").join(likely, "a", "left").select(
+        "a", F.when(F.col("middle") != "", F.col("middle")).otherwise(F.coalesce("likely", F.lit(""))).alias("ma")
     )
-    both = e.select("a", "b", "ma", "mb").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("mb").alias("ma"), F.col("ma").alias("mb")))
-    kinds = both.where("ma = '' AND mb <> ''").groupBy("a").agg(F.min("mb").alias("chosen"))
-    kept = both.join(kinds, "a", "left").where("ma <> '' OR mb = '' OR mb = chosen").select("a", "b", "chosen")
-    # Two profiles without initials that chose differently stay apart.
-    other = kinds.select(F.col("a").alias("b"), F.col("chosen").alias("other"))
-    return kept.join(other, "b", "left").where("chosen IS NULL OR other IS NULL OR chosen = other").select("a", "b")
+    return edges.join(settled, "a").join(settled.select(F.col("a").alias("b"), F.col("ma").alias("mb")), "b").where("ma = mb").select("a", "b")
 
 
 def _attach(loose: DataFrame, known: DataFrame, forms: DataFrame, together: DataFrame | None, rare: int) -> DataFrame:

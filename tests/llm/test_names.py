@@ -48,6 +48,16 @@ def test_context_decides_between_two(spark):
     assert tuple(sorted(("T. Planuninski", "Torza Planuninski"))) in got
 
 
+def test_every_namesake_meets_its_slip(spark):
+    own = {m: f"Jovan {m}. Lopimabargac" for m in "ABCDEF"}
+    slips = {"B": "Jovan B. Lopmabargac", "C": "Jovan C. Lopimabargc", "D": "Jovan D. Lopimbargac", "E": "Jovan E. Lopimabrgac"}
+    got = people(spark, OTHERS + [*own.values(), *slips.values(), "Jovan Lopimabargac"])
+    assert all(tuple(sorted((own[m], s))) in got for m, s in slips.items())
+    # Who has no middle initial joins one of them and bridges none.
+    assert not any({own[a], own[b]} <= set(p) for p in got for a in own for b in own if a < b)
+    assert sum("Jovan Lopimabargac" in p and set(p) & set(own.values()) != set() for p in got) == 1
+
+
 def test_slip_is_judged_beside_the_other_spelling(spark):
     own = [form.format(g) for g in NAMES for form in ("{} Žumaljarganin", "Žumaljarganin, {}", "dr {} Žumaljarganin", "mr {} Žumaljarganin")]
     slips = [f"{g} Zuumaljarganin" for g in ("Jovan", "Petar", "Marko")]
