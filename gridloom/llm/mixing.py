@@ -1,15 +1,17 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates stay as close as possible to their base rates, in the sense of
-token-weighted entropy, while every source contributes its target share of all
-tokens and no rate exceeds the cap. The convex dual has one multiplier a source;
-distributed Newton iterations solve it, each one aggregation over (source, size,
-rate) rows. The exponentially tilted rates are then rounded into copies.
+Document rates stay as close as possible to their base rates, in the sense of the
+entropy of documents, while every source contributes its target share of all tokens
+and no rate exceeds the cap. The solution tilts every document exponentially with its
+size, ``rate = min(cap, base * exp(dual * size))``; the convex dual has one multiplier
+a source, found by distributed Newton iterations whose gradient and Hessian are one
+aggregation a round. The tilted rates are then rounded into copies.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,6 @@ from pyspark.sql import functions as F
 from gridloom.llm.tokens import TokenizerFile, count_tokens
 from gridloom.session import cut_lineage
 
-#: Places within an interval at which the systematic sample may begin.
-OFFSETS = tuple((2 * k + 1) / 18 for k in range(9))
-
 
 def feasible_total(tokens: dict[str, float], targets: dict[str, tuple[float, int]]) -> tuple[float, dict[str, float]]:
     """The largest mix that meets all shares within the caps, and the shares it can meet.
@@ -34,49 +33,103 @@ def feasible_total(tokens: dict[str, float], targets: dict[str, tuple[float, int
     return min((tokens[s] * targets[s][1] / x for s, x in shares.items()), default=0.0), shares
 
 
+@dataclass
+class _Multiplier:
+    """The dual of one source: its multiplier and the interval that is known to hold the root."""
+
+    goal: float
+    cap: float
+    unit: float
+    value: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+
+    def step(self, drawn: float, slope: float) -> float:
+        """One Newton step from the gradient and the Hessian; returns the relative gap before it.
+
+        The step is taken on the logarithm of the constraint, which has the same root
+        and is straight where the tilt rules; outside the interval it is halved instead.
+        """
+        gap = math.log(drawn / self.goal) if drawn > 0 else -math.inf
+        if gap > 0:
+            self.high = self.value
+        else:
+            self.low = self.value
+        new = self.value - gap * drawn / slope if slope > 0 and drawn > 0 else math.nan
+        if not self.low < new < self.high:
+            if math.isinf(self.low) or math.isinf(self.high):
+                new = self.value + math.copysign(max(1.0, abs(self.value)), -gap)
+            else:
+                new = (self.low + self.high) / 2
+        self.value = new
+        return abs(gap)
+
+
 def solve_dual(
-    sized: DataFrame, goal: dict[str, float], caps: dict[str, int], rounds: int = 30, tolerance: float = 1e-9
+    sized: DataFrame, goal: dict[str, float], caps: dict[str, int], rounds: int = 200, tolerance: float = 1e-9
 ) -> tuple[dict[str, float], list[float]]:
-    """Multipliers ``m`` with sum of ``tokens * min(cap, base * exp(m))`` = goal in every source.
-
-    Newton's method on the logarithm of each constraint, which is the gradient of the
-    dual; its Hessian is diagonal because a document has one source. Where the cap
-    binds everywhere the derivative vanishes and the multiplier is left. Returns the
-    multipliers and the largest relative gap of each round.
+    """Multipliers ``m`` with sum of ``tokens * min(cap, base * exp(m * tokens))`` = goal in every source.
+
+    The gradient of the dual is the gap of the token constraints. Its Hessian is
+    diagonal, because a document has one source and so counts in one constraint only;
+    both come from one aggregation a round. A goal that only all caps together reach
+    has no finite multiplier and gets infinity. Returns the multipliers and the largest
+    relative gap of each round; raises if a gap is left after ``rounds``, each of
+    which at least halves an interval once it is closed.
     """
-    dual = {s: 0.0 for s in goal}
-    gaps: list[float] = []
     spark = sized.sparkSession
-    for _ in range(rounds):
-        state = spark.createDataFrame([(s, dual[s], float(caps[s])) for s in goal], "source string, dual double, cap double")
-        rate = F.col("base_rate") * F.exp("dual")
-        sums = (
+    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.avg("n_tokens").alias("unit")).collect()  # one row a source
+    facts = {r["source"]: (float(r["t"]), float(r["unit"])) for r in sums}
+    dual = {s: math.inf for s, g in goal.items() if g >= facts[s][0] * caps[s] * (1 - tolerance)}
+    open_ = {s: _Multiplier(g, float(caps[s]), facts[s][1]) for s, g in goal.items() if s not in dual}
+    gaps: list[float] = []
+    while open_:
+        if len(gaps) == rounds:
+            raise RuntimeError(f"entropy balancing left a gap of {gaps[-1]:.3g} after {rounds} rounds")
+        state = spark.createDataFrame([(s, m.value, m.cap, m.unit) for s, m in open_.items()], "source string, dual double, cap double, unit double")
+        size = F.col("n_tokens") / F.col("unit")
+        rate = F.col("base_rate") * F.exp(F.col("dual") * size)
+        rows = (
             sized.join(F.broadcast(state), "source")  # one row a target source
             .groupBy("source")
             .agg(
-                F.sum(F.col("n_tokens") * F.least(rate, F.col("cap"))).alias("drawn"),
-                F.sum(F.when(rate < F.col("cap"), F.col("n_tokens") * rate).otherwise(0.0)).alias("slope"),
+                F.sum(F.col("n_tokens") * F.least(rate, F.col("cap"))).alias("gradient"),
+                F.sum(F.when(rate < F.col("cap"), F.col("n_tokens") * size * rate).otherwise(0.0)).alias("hessian"),
             )
             .collect()
         )
         worst = 0.0
-        for r in sums:
-            s, drawn, slope = r["source"], r["drawn"], r["slope"]
-            gap = math.log(drawn / goal[s])
-            # Short of the goal with every rate at its cap: the cap decides.
-            if gap < 0 and slope <= 0:
-                continue
-            worst = max(worst, abs(gap))
-            if abs(gap) <= tolerance:
-                continue
-            step = gap * drawn / slope if slope > 1e-12 * drawn else math.copysign(1.0, gap)
-            dual[s] -= max(-4.0, min(4.0, step))
+        for r in rows:
+            m = open_[r["source"]]
+            at = m.value
+            gap = m.step(r["gradient"], r["hessian"])
+            worst = max(worst, gap)
+            if gap <= tolerance or (m.high - m.low) <= 1e-15 * max(1.0, abs(at)):
+                dual[r["source"]] = at / m.unit
+                del open_[r["source"]]
         gaps.append(worst)
-        if worst <= tolerance:
-            break
     return dual, gaps
 
 
+def round_by_tokens(rates: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Copies of each document, its rate rounded up or down so that tokens come out even.
+
+    What rounding gained or lost so far is carried to the next document; with the
+    largest documents first, the small ones at the end even out what is left.
+    """
+    low = np.floor(rates + 1e-9)
+    part = np.maximum(rates - low, 0.0) * tokens
+    out = low.astype(np.int64)
+    owed = 0.0
+    for i, (due, t) in enumerate(zip(part.tolist(), tokens.tolist(), strict=True)):
+        owed += due
+        # Where the cap is reached there is no part to round up.
+        if due > 0 and owed * 2 >= t:
+            out[i] += 1
+            owed -= t
+    return out
+
+
 def draw(
     docs: DataFrame,
     targets: DataFrame,
@@ -96,10 +149,10 @@ def draw(
     of their own. An empty table, or targets that nothing can meet, give no rows.
     Other columns are ignored.
 
-    Rounding is systematic: in blocks of about ``block`` documents of a source, sorted
-    by size, a copy falls wherever the running sum of rates passes a whole number, so
-    copies are spread evenly over all sizes and each document gets its rate rounded up
-    or down. Of nine starting places the one nearest to the goal is taken by source.
+    Rates are tilted by size, so a source short of its goal draws its long documents
+    more often and one beyond it its short ones. Rounding is by tokens: in blocks of
+    about ``block`` documents of a source, the largest first, each rate is rounded up
+    or down so that the tokens drawn so far stay closest to those due.
 
     Scale: texts are read once; the table of identifiers, sources and sizes is written
     to the shared checkpoint folder and scanned by the iterations. Blocks are made by a
@@ -124,41 +177,30 @@ def draw(
     goal = {s: total * x for s, x in shares.items()}
     caps = {s: wanted[s][1] for s in shares}
     dual, _ = solve_dual(sized, goal, caps)
-    rates = _rates(spark, sized, dual, caps, {s: max(1, -(-size[s][1] // block)) for s in shares})
+    rates = tilted_rates(spark, sized, dual, caps, {s: max(1, -(-size[s][1] // block)) for s in shares})
 
     def sample(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("n_tokens", "ascending"), ("spread", "ascending"), ("doc_id", "ascending")])
-        reach = np.concatenate([[0.0], np.cumsum(group.column("rate").to_numpy())])
-        uses = [np.diff(np.floor(reach + at + 1e-9)).astype(np.int64) for at in OFFSETS]
-        return pa.table({c: group.column(c) for c in ("doc_id", "source", "n_tokens", "rate")} | {f"u{k}": pa.array(u) for k, u in enumerate(uses)})
-
-    drawn = cut_lineage(
-        rates.groupBy("source", "block").applyInArrow(
-            sample, f"doc_id {key}, source string, n_tokens bigint, rate double, " + ", ".join(f"u{k} bigint" for k in range(len(OFFSETS)))
-        )
-    )
-    sums = drawn.groupBy("source").agg(*(F.sum(F.col("n_tokens") * F.col(f"u{k}")).alias(f"s{k}") for k in range(len(OFFSETS)))).collect()
-    best = {r["source"]: min(range(len(OFFSETS)), key=lambda k: (abs(r[f"s{k}"] - goal[r["source"]]), k)) for r in sums}
-    reached = {r["source"]: float(r[f"s{best[r['source']]}"]) for r in sums}
+        group = group.sort_by([("n_tokens", "descending"), ("spread", "ascending"), ("doc_id", "ascending")])
+        uses = round_by_tokens(group.column("rate").to_numpy(), group.column("n_tokens").to_numpy())
+        return pa.table({c: group.column(c) for c in ("doc_id", "source", "n_tokens", "rate")} | {"n_uses": pa.array(uses)})
+
+    drawn = cut_lineage(rates.groupBy("source", "block").applyInArrow(sample, out).where("n_uses > 0"))
+    sums = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n")).collect()  # one row a source
+    reached = {r["source"]: float(r["n"]) for r in sums}
     whole = sum(reached.values()) or 1.0
-    pick = spark.createDataFrame(
-        [(s, best[s], wanted[s][0], reached[s] / whole) for s in best], "source string, pick int, target_share double, reached_share double"
-    )
-    uses = F.element_at(F.array(*(F.col(f"u{k}") for k in range(len(OFFSETS)))), F.col("pick") + 1)
-    return (
-        drawn.join(F.broadcast(pick), "source")  # one row a target source
-        .withColumn("n_uses", uses)
-        .where("n_uses > 0")
-        .select(F.col("doc_id").alias(doc_id), "source", "n_tokens", "rate", "n_uses", "target_share", "reached_share")
+    about = spark.createDataFrame([(s, wanted[s][0], n / whole) for s, n in reached.items()], "source string, target_share double, reached_share double")
+    return drawn.join(F.broadcast(about), "source").select(  # one row a target source
+        F.col("doc_id").alias(doc_id), "source", "n_tokens", "rate", "n_uses", "target_share", "reached_share"
     )
 
 
-def _rates(spark: SparkSession, sized: DataFrame, dual: dict[str, float], caps: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+def tilted_rates(spark: SparkSession, sized: DataFrame, dual: dict[str, float], caps: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """Every document with its rate and a block of its source."""
     state = spark.createDataFrame([(s, dual[s], float(caps[s]), blocks[s]) for s in dual], "source string, dual double, cap double, blocks int")
     spread = F.xxhash64("doc_id")
     return sized.join(F.broadcast(state), "source").select(  # one row a target source
         "doc_id", "source", "n_tokens",
-        F.least(F.col("base_rate") * F.exp("dual"), F.col("cap")).alias("rate"),
+        F.least(F.col("base_rate") * F.exp(F.col("dual") * F.col("n_tokens")), F.col("cap")).alias("rate"),
         spread.alias("spread"), F.pmod(spread, F.col("blocks")).cast("int").alias("block"),
     )
 
