@@ -18,7 +18,7 @@ class Trie:
     """Paths to entries; an entry may have many alias paths."""
 
     def __init__(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        self.children: list[dict[str, int] | None] = [{}]
         self.ends: list[dict[int, float]] = [{}]
         self.longest = 0
 
@@ -37,6 +37,13 @@ class Trie:
         if known is None or cost < known:
             self.ends[node][ref] = cost
 
+    def unfold(self, node: int) -> dict[str, int]:
+        """The children of a node whose children are not made yet."""
+        raise NotImplementedError
+
+    def tidy(self) -> None:
+        """Called between searches."""
+
     def search(self, query: str, edits: int) -> dict[int, float]:
         """All entries with a path within ``edits``, each with its least cost."""
         n, window = len(query), 2 * edits + 2
@@ -50,6 +57,7 @@ class Trie:
                 digits |= 1 << i
         mask = (1 << window) - 1
         found: dict[int, float] = {}
+        self.tidy()
         children, ends = self.children, self.ends
         stack: list[tuple[int, int, State]] = [(0, 0, ((0, 0, 0),))]
         while stack:
@@ -63,7 +71,8 @@ class Trie:
                             found[ref] = best + cost
             room = min(n - base, window)
             near = digits >> base & mask
-            for c, child in children[node].items():
+            kids = children[node]
+            for c, child in (self.unfold(node) if kids is None else kids).items():
                 key = (state, where.get(c, 0) >> base & mask, near, room, c.isdigit(), edits)
                 nxt = _STEPS.get(key)
                 if nxt is None:
@@ -73,6 +82,91 @@ class Trie:
         return found
 
 
+#: Stands for the point of an abbreviated word, in paths and queries alike.
+POINT = "․"
+
+#: Where a reading of an entry stands: entry, words read, whether in order, word at hand and letters of it.
+Place = tuple[int, int, bool, int, int]
+
+
+class NameTrie(Trie):
+    """Names of any number of words, unfolded only as far as queries lead.
+
+    Words may stand in any order, each whole, cut short with a point from two letters
+    on or without one from five. All these paths together grow with the orders of the
+    words; kept are the words alone, so memory grows with their letters, and a node is
+    made when a search first comes to it. ``held`` nodes are remembered between searches.
+    """
+
+    CUT_POINT, CUT, DISORDER, ALONE = 0.1, 0.3, 0.05, 0.4
+
+    def __init__(self, held: int = 500_000) -> None:
+        super().__init__()
+        self.names: list[tuple[int, list[str], set[str]]] = []
+        self.held = held
+        self.places: list[dict[Place, float]] = [{}]
+
+    def add_name(self, ref: int, words: list[str], own: set[str] = frozenset()) -> None:
+        """A name; ``own`` are words that stand for it alone."""
+        if words:
+            self.names.append((ref, words, own))
+            self.longest = max(self.longest, sum(map(len, words)) + len(words))
+            self._reset()
+
+    def _reset(self) -> None:
+        self.children, self.ends, self.places = [None], [{}], [{}]
+
+    def tidy(self) -> None:
+        if len(self.children) > self.held:
+            self._reset()
+
+    def _start(self) -> dict[Place, float]:
+        return {(e, 0, True, w, 0): 0.0 for e, (_, words, _) in enumerate(self.names) for w in range(len(words))}
+
+    def _finish(self, place: Place, cost: float, into: dict[Place, float], ends: dict[int, float]) -> None:
+        """A word is read: the name may be complete, or another word begins."""
+        e, used, in_order, w, _ = place
+        ref, words, own = self.names[e]
+        in_order = in_order and used == (1 << w) - 1
+        used |= 1 << w
+        if used == (1 << len(words)) - 1:
+            whole = cost + (0.0 if in_order else self.DISORDER)
+            ends[ref] = min(whole, ends.get(ref, whole))
+        else:
+            for k in range(len(words)):
+                if not used >> k & 1:
+                    key = (e, used, in_order, k, 0)
+                    into[key] = min(cost, into.get(key, cost))
+            if used == 1 << w and words[w] in own and cost == 0.0:
+                ends[ref] = min(self.ALONE, ends.get(ref, self.ALONE))
+
+    def unfold(self, node: int) -> dict[str, int]:
+        after: dict[str, tuple[dict[Place, float], dict[int, float]]] = {}
+        for place, cost in (self.places[node] if node else self._start()).items():
+            e, used, in_order, w, k = place
+            words = self.names[e][1]
+            word = words[w]
+            into, ends = after.setdefault(word[k], ({}, {}))
+            if k + 1 < len(word):
+                key = (e, used, in_order, w, k + 1)
+                into[key] = min(cost, into.get(key, cost))
+                if k + 1 >= 5 and len(words) > 1:
+                    self._finish(place, cost + self.CUT, into, ends)
+            else:
+                self._finish(place, cost, into, ends)
+            if 2 <= k and len(words) > 1:
+                self._finish(place, cost + self.CUT_POINT, *after.setdefault(POINT, ({}, {})))
+        kids = {}
+        for c, (into, ends) in after.items():
+            kids[c] = len(self.children)
+            self.children.append(None if into else {})
+            self.places.append(into)
+            self.ends.append(ends)
+        self.children[node] = kids
+        self.places[node] = {}
+        return kids
+
+
 _STEPS: dict[tuple, tuple[int, State]] = {}
 
 
@@ -136,11 +230,11 @@ def length_dependent_edits(query: str) -> int:
     return 0 if letters < 4 else 1 if letters < 6 else 2 if letters < 13 else 3
 
 
-def closest(trie: Trie, queries: Iterable[str]) -> tuple[int, float] | None:
-    """The entry nearest to any reading of a value, the fewest edits first.
+def closest(trie: Trie, queries: Iterable[str]) -> tuple[int, int, float] | None:
+    """The entry nearest to any reading of a value: the edits it takes, the entry, its distance with the cost of the alias.
 
-    Readings are given best first. Between entries at one distance the smaller cost of
-    the alias wins, then the smaller identifier.
+    Readings are given best first. Fewer edits win, then the smaller distance, then the
+    smaller identifier, so the best of several lists is the best of all.
     """
     readings = [q for q in dict.fromkeys(queries) if q]
     for edits in range(4):
@@ -151,5 +245,5 @@ def closest(trie: Trie, queries: Iterable[str]) -> tuple[int, float] | None:
                     if best is None or (cost, ref) < best:
                         best = (cost, ref)
         if best is not None:
-            return best[1], best[0]
+            return edits, best[1], best[0]
     return None
