@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from gridloom.llm import names, units
 from gridloom.llm.components import components
+from gridloom.llm.fuzzytrie import edit_distance
 
 GIVEN = [("Aleksandar", "Aca"), ("Svetlana", "Ceca"), ("Teodora", "Dora"), ("Jovan", "Joca")]
 NAMES = ("Aleksandar", "Svetlana", "Teodora", "Jovan", "Petar", "Marko")
@@ -58,6 +63,65 @@ def test_every_namesake_meets_its_slip(spark):
     assert sum("Jovan Lopimabargac" in p and set(p) & set(own.values()) != set() for p in got) == 1
 
 
+def test_eight_namesakes_and_their_slips(spark):
+    """Initials A to H, one slip each: eight persons of two spellings, "G" among them."""
+    word, own, slips = "Lopimabargac", {}, {}
+    for i, m in enumerate("ABCDEFGH"):
+        own[m], slips[m] = f"Jovan {m}. {word}", f"Jovan {m}. {word[: i + 2] + word[i + 3 :]}"
+    got = people(spark, OTHERS + [*own.values(), *slips.values()])
+    mine = {p for p in got if set(p) & {*own.values(), *slips.values()}}
+    assert mine == {tuple(sorted((own[m], slips[m]))) for m in own}
+
+
+def test_families_are_settled_alike_within_a_task_and_by_joins(spark):
+    random.seed(3)
+    words = ["lopimabargac", "lopmabargac", "lopimabargc", "zopimabargac", "zopimabargaci", "torotasevin", "torotasevim"]
+    rows = {(random.choice(words), random.choice(("jovan", "petar")), random.choice(("", "", "a", "b", "c"))) for _ in range(60)}
+    support = {w: n for w, n in zip(words, (20, 1, 2, 9, 1, 1, 1), strict=True)}
+    data = [(i * 37 % 101, w, f, m, support[w], 1 + i % 5) for i, (w, f, m) in enumerate(sorted(rows))]
+    records = spark.createDataFrame(data, "pid bigint, surname string, full string, middle string, support bigint, n bigint")
+    near = names.near_surnames(records.select("surname", "support").distinct(), 2)
+    settled = [{(r["pid"], r["entity"]) for r in names.merged_profiles(records, near, 2, family).collect()} for family in (1, 2000)]
+    assert settled[0] == settled[1] and 4 < len({e for _, e in settled[0]}) < len(data)
+
+
+def test_words_one_edit_apart_share_a_key(spark):
+    random.seed(5)
+    pairs = []
+    for n in (3, 4, 5, 31, 63, 64, 65, 66, 200):
+        for _ in range(25):
+            w = "".join(random.choice("abcd") for _ in range(n))
+            i = random.randrange(n)
+            for v in (w[:i] + w[i + 1 :], w[:i] + "e" + w[i:], w[:i] + "e" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]):
+                if min(len(v), n) >= 4 or n == 3 and len(v) == 4:
+                    pairs.append((w, v))
+    df = spark.createDataFrame(pairs, "w string, v string")
+    w, v = F.col("w"), F.col("v")
+    assert df.where(~F.arrays_overlap(names.deletions(w), names.deletions(v)) | ~names.one_edit(w, v)).count() == 0
+    assert all(names._deletions(a) & names._deletions(b) and (a == b or names._one_edit(a, b)) for a, b in pairs)
+
+
+def test_a_frequent_surname_brings_no_pairs_of_given_names(spark):
+    """Short forms learned with the prefix filter are those that all pairs show."""
+    random.seed(7)
+    rows = {(f"s{i % 40}", random.choice(("slobodan", "boban", "dan", "petar", "pera"))) for i in range(400)} | {("hot", f"name{k}") for k in range(60)}
+    rows |= {(f"r{i}", g) for i in range(12) for g in ("slobodan", "boban")} | {("hot", "slobodan"), ("hot", "boban")}
+    parsed = spark.createDataFrame([(s, [g]) for s, g in sorted(rows)], "surname string, givens array<string>")
+    listed = spark.createDataFrame([("pera", "petar")], "given string, full string")
+    got = {(r["given"], r["full"]) for r in names.learn_short_forms(parsed, listed).collect()}
+    by = {g: {s for s, h in rows if h == g} for _, g in rows}
+    total = len({s for s, _ in rows})
+    want = {("pera", "petar")}
+    for g, a in by.items():
+        for f, b in by.items():
+            if g != f and len(a) <= len(b) and len(g) <= len(f):
+                n, share = len(a & b), len(a & b) / len(a)
+                alike = g[0] == f[0] or edit_distance(g, f, False) <= len(f) - 3
+                if (alike and n >= 2 and share >= 0.3 and share * total / len(b) >= 4) or (n >= 5 and share >= 0.4 and share * total / len(b) >= 6):
+                    want.add((g, f))
+    assert {p for p in got if p[0] != p[1]} == want
+
+
 def test_slip_is_judged_beside_the_other_spelling(spark):
     own = [form.format(g) for g in NAMES for form in ("{} Žumaljarganin", "Žumaljarganin, {}", "dr {} Žumaljarganin", "mr {} Žumaljarganin")]
     slips = [f"{g} Zuumaljarganin" for g in ("Jovan", "Petar", "Marko")]
