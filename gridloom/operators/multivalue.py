@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.session import cut_lineage
@@ -36,20 +36,23 @@ Shapes = dict[str, tuple[dict[str, float], float]]
 class SplitModel:
     """Parameters of the segmentation; none depends on the size of the data.
 
-    ``longest`` is the number of separators one value may contain. ``inner`` is the
-    prior factor of each separator kept inside a value, ``novelty`` the weight of a
-    shape not seen before, ``empty`` the prior of an empty slot and
-    ``stray_blank`` the share of values typed with blanks of their own. Shapes with a share
-    below ``1 / kept`` count as unseen, so at most ``kept`` shapes are ever held.
+    ``inner`` is the prior factor of each separator kept inside a value, ``novelty`` the
+    weight of a shape not seen before, ``empty`` the prior of an empty slot and
+    ``stray_blank`` the share of values typed with blanks of their own. ``longest`` is the
+    number of separators a value may hold beside others in its field; one that fills its
+    field may hold any number. Expectation-maximisation ends when a round moves less than
+    ``settled`` of all values; not doing so in ``rounds`` is an error. Up to ``held``
+    shapes are sent to the tasks; more are joined to the patterns that need them.
     """
 
-    rounds: int = 5
+    rounds: int = 200
+    settled: float = 1e-3
     longest: int = 8
     inner: float = 0.05
     novelty: float = 0.5
     empty: float = 1e-3
     stray_blank: float = 0.1
-    kept: int = 20_000
+    held: int = 20_000
 
 
 def field_pattern(value: Column) -> Column:
@@ -156,7 +159,8 @@ class Lattice:
         self.edges: list[list[tuple[int, str | None, int]]] = []  # by end: (first atom, shape, separators inside)
         for j, last in enumerate(self.atoms):
             here: list[tuple[int, str | None, int]] = []
-            for i in range(j, max(-1, j - model.longest - 1), -1):
+            reach = range(j, max(-1, j - model.longest - 1), -1)
+            for i in (*reach, 0) if j == len(self.atoms) - 1 and reach[-1] > 0 else reach:
                 first = self.atoms[i]
                 if i < j and (first[2] or last[2] or any(a[2] for a in self.atoms[i + 1 : j])):
                     break
@@ -225,22 +229,28 @@ def _log_sum(xs: list[float]) -> float:
 
 
 def shape_probability(shapes: Shapes, field: str, model: SplitModel):
-    """Learned frequency, smoothed with a prior that dislikes separators inside a value.
-
-    A value typed with stray blanks also profits from what its shape without blanks is worth.
-    """
+    """Learned frequency of the shapes of a field, all of them at hand."""
     known, total = shapes.get(field, ({}, 0.0))
     squeezed: dict[str, float] = defaultdict(float)
     for shape, n in known.items():
         squeezed[shape.replace(" ", "")] += n
+    return _probability(known, squeezed, total, model)
+
+
+def _probability(known: dict[str, float], squeezed: dict[str, float], total: float, model: SplitModel):
+    """Learned frequency, smoothed with a prior that dislikes separators inside a value.
+
+    A value typed with stray blanks also profits from what its shape with other blanks, or none, is worth.
+    """
 
     def probability(shape: str | None, inside: int) -> float:
         if shape is None:
             return model.empty
         # A shape with separators must have been met elsewhere too: one occurrence proves nothing.
-        n = max(0.0, known.get(shape, 0.0) - (inside > 0)) + model.novelty * model.inner**inside
+        # A long one may have too small a prior for a number; it is not impossible.
+        n = max(0.0, known.get(shape, 0.0) - (inside > 0)) + max(model.novelty * model.inner**inside, 1e-300)
         if " " in shape:
-            n += model.stray_blank * squeezed.get(shape.replace(" ", ""), 0.0)
+            n += model.stray_blank * max(0.0, squeezed.get(shape.replace(" ", ""), 0.0) - known.get(shape, 0.0))
         return n / (total + model.novelty)
 
     return probability
@@ -258,57 +268,112 @@ class _ByField(dict):
         return self[field]
 
 
-def learn_shapes(patterns: DataFrame, model: SplitModel) -> Shapes:
+@dataclass(frozen=True)
+class Learned:
+    """What was learned: shapes held at the driver, or a table of them with the patterns that need each."""
+
+    totals: dict[str, float]
+    held: Shapes | None
+    table: DataFrame | None = None
+    needs: DataFrame | None = None
+
+    def over(self, patterns: DataFrame, model: SplitModel, run: Callable[[pd.DataFrame, Callable[[int, str], Callable]], pd.DataFrame], schema: str) -> DataFrame:
+        """``run`` on batches of patterns, given the probability function of each row."""
+        totals, held = self.totals, self.held
+        if held is not None:
+
+            def all_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                by_field = _ByField(held, model)
+                for pdf in batches:
+                    yield run(pdf, lambda _, field: by_field[field])
+
+            return patterns.mapInPandas(all_held, schema)
+        squeezed = F.replace("shape", F.lit(" "), F.lit(""))
+        alike = self.table.groupBy("field", squeezed.alias("bare")).agg(F.sum("n").alias("n"))
+        of_shape = self.needs.join(self.table, ["field", "shape"]).select("field", "pattern", "shape", "n")
+        # All shapes that differ from a needed one in blanks only, as one shape without.
+        others = self.needs.where("shape LIKE '% %'").select("field", "pattern", squeezed.alias("bare")).distinct().join(alike, ["field", "bare"])
+        rest = others.select("field", "pattern", "bare", "n")
+        own = (
+            of_shape.select("field", "pattern", F.struct("shape", "n", F.lit(True).alias("own")).alias("s"))
+            .unionByName(rest.select("field", "pattern", F.struct(F.col("bare").alias("shape"), "n", F.lit(False).alias("own")).alias("s")))
+            .groupBy("field", "pattern")
+            .agg(F.collect_list("s").alias("shapes"))
+        )
+
+        def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = pdf["shapes"].tolist()
+
+                def of(i: int, field: str, rows=rows):
+                    mine = rows[i] if rows[i] is not None else []
+                    known = {x["shape"]: x["n"] for x in mine if x["own"]}
+                    bare = {x["shape"]: x["n"] for x in mine if not x["own"]}
+                    return _probability(known, bare, totals.get(field, 0.0), model)
+
+                yield run(pdf, of)
+
+        return patterns.withColumnRenamed("_field", "field").join(own, ["field", "pattern"], "left").withColumnRenamed("field", "_field").mapInPandas(joined, schema)
+
+
+def learn_shapes(patterns: DataFrame, model: SplitModel) -> Learned:
     """EM over distinct patterns with their counts, for every field at once.
 
-    Each round is one pass over the distinct patterns and one small aggregation.
-    Only shapes with at least ``1 / kept`` of a field's values come to the driver,
-    which bounds them by ``kept`` a field whatever the data.
+    Patterns that can be read one way only are counted once; each round is one pass
+    over the others and one aggregation by shape.
     """
     schema = "field string, shape string, n double"
 
-    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Fields that can be read one way only: no separator, or all of it quoted."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shapes of patterns without a choice (no separator, or all of it quoted); of others those that may occur."""
         for pdf in batches:
-            seen: Counter[tuple[str, str]] = Counter()
+            rows = []
             for f, p, n in zip(pdf["_field"], pdf["pattern"], pdf["n"], strict=True):
                 lat = Lattice(p, model)
-                if len(lat.atoms) == 1 or all(a[2] for a in lat.atoms):
-                    for here in lat.edges:
-                        for _, s, k in here:
-                            if s is not None and k == 0:
-                                seen[f, s] += n
-            yield pd.DataFrame([(f, s, float(n)) for (f, s), n in seen.items()], columns=["field", "shape", "n"])
-
+                sure = len(lat.atoms) == 1 or all(a[2] for a in lat.atoms)
+                found = Counter(s for here in lat.edges for _, s, k in here if s is not None and (k == 0 or not sure))
+                rows += [(f, p, s, float(n * c), sure) for s, c in found.items()]
+            yield pd.DataFrame(rows, columns=["field", "pattern", "shape", "n", "sure"])
+
+    edges = cut_lineage(patterns.mapInPandas(read, "field string, pattern string, shape string, n double, sure boolean"))
+    sure = edges.where("sure").groupBy("field", "shape").agg(F.sum("n").alias("n"))
+    needs = edges.where("NOT sure").select("field", "pattern", "shape")
     # Every field has a value at least: what is new is rare from the start. One row a field.
     sizes = {r["_field"]: float(r["n"]) for r in patterns.groupBy("_field").agg(F.sum("n").alias("n")).collect()}
+    open_ = cut_lineage(
+        patterns.join(needs.select(F.col("field").alias("_field"), "pattern").distinct(), ["_field", "pattern"], "left_semi")
+    )
 
-    def gather(found: DataFrame) -> Shapes:
-        sums = found.groupBy("field", "shape").agg(F.sum("n").alias("n"))
-        totals = F.sum("n").over(Window.partitionBy("field"))
-        out: Shapes = {f: ({}, n) for f, n in sizes.items()}
-        for r in sums.withColumn("total", totals).where(F.col("n") * model.kept >= F.col("total")).collect():
-            known = out[r["field"]][0]
-            known[r["shape"]] = r["n"]
-            out[r["field"]] = (known, max(sizes[r["field"]], r["total"]))
-        return out
-
-    shapes = gather(patterns.mapInPandas(clear, schema))
+    def learned(table: DataFrame) -> Learned:
+        table = cut_lineage(table)
+        totals = {r["field"]: r["n"] for r in table.groupBy("field").agg(F.sum("n").alias("n")).collect()}
+        totals = {f: max(n, totals.get(f, 0.0)) for f, n in sizes.items()}
+        if table.count() > model.held:
+            return Learned(totals, None, table, needs)
+        shapes: Shapes = {f: ({}, n) for f, n in totals.items()}
+        for r in table.collect():  # at most model.held
+            shapes[r["field"]][0][r["shape"]] = r["n"]
+        return Learned(totals, shapes, table, needs)
+
+    def expect(pdf: pd.DataFrame, probability: Callable[[int, str], Callable]) -> pd.DataFrame:
+        sums: dict[tuple[str, str], float] = defaultdict(float)
+        for i, (f, p, n) in enumerate(zip(pdf["_field"], pdf["pattern"], pdf["n"], strict=True)):
+            for s, c in Lattice(p, model).expected(probability(i, f)).items():
+                sums[f, s] += c * n
+        return pd.DataFrame([(f, s, n) for (f, s), n in sums.items()], columns=["field", "shape", "n"])
+
+    now = learned(sure)
+    if not open_.limit(1).count():
+        return now
     for _ in range(model.rounds):
-
-        def expect(batches: Iterator[pd.DataFrame], shapes: Shapes = shapes) -> Iterator[pd.DataFrame]:
-            probability = _ByField(shapes, model)
-            for pdf in batches:
-                sums: dict[tuple[str, str], float] = defaultdict(float)
-                for f, p, n in zip(pdf["_field"], pdf["pattern"], pdf["n"], strict=True):
-                    lat = Lattice(p, model)
-                    if lat.atoms:
-                        for s, c in lat.expected(probability[f]).items():
-                            sums[f, s] += c * n
-                yield pd.DataFrame([(f, s, n) for (f, s), n in sums.items()], columns=["field", "shape", "n"])
-
-        shapes = gather(patterns.mapInPandas(expect, schema))
-    return shapes
+        found = now.over(open_, model, expect, schema).unionByName(sure)
+        new = learned(found.groupBy("field", "shape").agg(F.sum("n").alias("n")))
+        before = now.table.select("field", "shape", F.col("n").alias("was"))
+        gap = new.table.join(before, ["field", "shape"], "full").agg(F.sum(F.abs(F.coalesce("n", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        now = new
+        if gap <= model.settled * sum(now.totals.values()):
+            return now
+    raise RuntimeError(f"the shapes of values did not settle in {model.rounds} rounds")
 
 
 def split_fields(
@@ -316,7 +381,7 @@ def split_fields(
     row_id: str,
     fields: Sequence[str],
     model: SplitModel = SplitModel(),
-    salts: int = 16,
+    hot_share: int = 1000,
 ) -> DataFrame:
     """One row per value of every field that holds at least two.
 
@@ -329,8 +394,9 @@ def split_fields(
     and an empty table gives no rows. Other columns are ignored.
 
     Scale: the model sees distinct patterns with counts (combined before the
-    shuffle), never rows. Rows meet their pattern in a join salted ``salts``-fold,
-    so a pattern with a third of all rows is spread over that many tasks.
+    shuffle), never rows. Patterns with at least ``1 / hot_share`` of all fields, at most
+    ``hot_share`` in number, go to the rows by broadcast, so their rows are not moved;
+    the others are joined.
     """
     long = df.select(
         F.col(f"`{row_id}`").alias("_id"),
@@ -339,30 +405,24 @@ def split_fields(
     # The column decides which shapes its values have, so patterns keep their field.
     long = long.withColumn("_pattern", field_pattern(F.col("_value")))
     patterns = cut_lineage(long.groupBy("_field", F.col("_pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("n")))
-    shapes = learn_shapes(patterns, model)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probability = _ByField(shapes, model)
-        for pdf in batches:
-            rows = []
-            for f, p in zip(pdf["_field"], pdf["pattern"], strict=True):
-                cut = Lattice(p, model).best(probability[f])
-                if len(cut) > 1:
-                    rows.append((f, p, [{"pos": s, "at": a, "len": b - a} for s, a, b in cut]))
-            yield pd.DataFrame(rows, columns=["_field", "_pattern", "_cut"])
-
-    parts = patterns.mapInPandas(decide, "_field string, _pattern string, _cut array<struct<pos:bigint,at:int,len:int>>")
-    salted = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = long.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    return (
-        rows.join(salted, ["_field", "_pattern", "_salt"])
-        .select("_id", "_field", "_value", F.inline("_cut"))
-        .select(
-            F.col("_id").alias(row_id),
-            F.col("_field").alias("field_name"),
-            "pos",
-            F.expr("substring(_value, at + 1, len)").alias("item_value"),
-        )
+    learned = learn_shapes(patterns, model)
+
+    def decide(pdf: pd.DataFrame, probability: Callable[[int, str], Callable]) -> pd.DataFrame:
+        rows = []
+        for i, (f, p, n) in enumerate(zip(pdf["_field"], pdf["pattern"], pdf["n"], strict=True)):
+            cut = Lattice(p, model).best(probability(i, f))
+            if len(cut) > 1:
+                rows.append((f, p, n, [{"pos": s, "at": a, "len": b - a} for s, a, b in cut]))
+        return pd.DataFrame(rows, columns=["_field", "_pattern", "_n", "_cut"])
+
+    schema = "_field string, _pattern string, _n bigint, _cut array<struct<pos:bigint,at:int,len:int>>"
+    parts = cut_lineage(learned.over(patterns, model, decide, schema))
+    hot = F.col("_n") * hot_share >= (patterns.agg(F.sum("n")).first()[0] or 0)
+    frequent, others = F.broadcast(parts.where(hot)), parts.where(~hot)  # at most hot_share patterns
+    keys = ["_field", "_pattern"]
+    met = long.join(frequent, keys).unionByName(long.join(frequent.select(*keys), keys, "left_anti").join(others, keys))
+    return met.select("_id", "_field", "_value", F.inline("_cut")).select(
+        F.col("_id").alias(row_id), F.col("_field").alias("field_name"), "pos", F.expr("substring(_value, at + 1, len)").alias("item_value")
     )
 
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from gridloom.operators.multivalue import Lattice, SplitModel, p4_found, split_fields
 
 
@@ -9,9 +11,9 @@ def frame(spark, values):
     return spark.createDataFrame([(i, v, "pos") for i, v in enumerate(values)], "item_id bigint, serial_number string, pos string")
 
 
-def run(spark, values):
+def run(spark, values, model=SplitModel(), hot_share=1000):
     out: dict[int, list] = {}
-    for r in split_fields(frame(spark, values), "item_id", ["serial_number"]).collect():
+    for r in split_fields(frame(spark, values), "item_id", ["serial_number"], model, hot_share).collect():
         out.setdefault(r["item_id"], []).append((r["pos"], r["item_value"]))
     return {k: sorted(v) for k, v in out.items()}
 
@@ -62,3 +64,24 @@ def test_expected_counts_are_consistent():
     total = sum(lat.expected(flat).values())
     assert 1 <= total <= 3
     assert [x[0] for x in lat.best(flat)] == list(range(1, len(lat.best(flat)) + 1))
+
+
+def test_shapes_joined_and_shapes_held_split_alike(spark):
+    singles = codes(30, 4)
+    random.seed(5)
+    values = singles + [sep.join(random.sample(singles, 3)) for sep in (", ", " / ", " | ", " i ", ";") for _ in range(4)] + ["KX 0000  12", "a / b"]
+    held = run(spark, values)
+    assert run(spark, values, SplitModel(held=0)) == held and len(held) >= 20
+    assert run(spark, values, hot_share=3) == held
+
+
+def test_values_with_many_separators_stay_whole_where_their_shape_is_known(spark):
+    long = [" ".join(f"{random.randrange(100):02d}" for _ in range(14)) for _ in range(60)]
+    # Half of them quoted show what such a value looks like.
+    got = run(spark, [f'"{v}"' for v in long[:30]] + long[30:] + ["AB123456", "AB123457, AB123458"])
+    assert got == {61: [(1, "AB123457"), (2, "AB123458")]}
+
+
+def test_rounds_without_an_end_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="settle"):
+        run(spark, codes(20) + ["A1 B2 / C3", "A1 / B2 C3"], SplitModel(rounds=1, settled=0.0))
