@@ -286,6 +286,11 @@ def has_ink(image: np.ndarray, x0: float, y0: float, x1: float, y1: float, least
     return bool(boxes[marks, 4].sum() / image[c:d, a:b].size >= least)
 
 
+#: Codes of suspicious pictures, in their order, and the limits behind them.
+SUSPICIONS = ("NEAR_BLACK", "NEAR_WHITE", "LOW_VARIANCE", "NO_EDGES", "EMBEDDED_IMAGE_CONTENT_MISSING", "ICC_PROFILE_FAILURE")
+MOST_BLACK, MOST_WHITE, LEAST_SPREAD, LEAST_EDGES, LEAST_FOREGROUND, LEAST_FOREGROUND_BOX = 0.98, 0.99, 0.75, 0.0001, 0.005, 0.05
+
+
 @dataclass(frozen=True)
 class RenderMetrics:
     """What shows whether a page was rendered."""
@@ -314,12 +319,10 @@ class RenderMetrics:
         )
 
     def reasons(self, expects_image: bool = False, icc_failure: bool = False) -> list[str]:
-        checks = (
-            ("mostly_black", self.near_black > 0.98), ("mostly_white", self.near_white > 0.99), ("flat", self.std < 0.75),
-            ("no_edges", self.edge_density < 0.0001), ("image_missing", expects_image and (self.foreground < 0.005 or self.foreground_box < 0.05)),
-            ("icc_failure", icc_failure),
-        )
-        return [name for name, hit in checks if hit]
+        """Codes of what makes the picture suspicious."""
+        empty = expects_image and (self.foreground < LEAST_FOREGROUND or self.foreground_box < LEAST_FOREGROUND_BOX)
+        hits = (self.near_black > MOST_BLACK, self.near_white > MOST_WHITE, self.std < LEAST_SPREAD, self.edge_density < LEAST_EDGES, empty, icc_failure)
+        return [code for code, hit in zip(SUSPICIONS, hits, strict=True) if hit]
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -380,7 +383,7 @@ def render_with_fallbacks(first, fallbacks, expects_image: bool) -> tuple[np.nda
         if other is None:
             continue
         seen = RenderMetrics.of(other)
-        if seen.near_black > 0.98:
+        if seen.near_black > MOST_BLACK:
             flipped = invert(other)
             turned = RenderMetrics.of(flipped)
             if not turned.reasons(expects_image) and turned.edge_density > seen.edge_density:

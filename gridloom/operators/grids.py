@@ -68,19 +68,30 @@ def grid_cells(grids: DataFrame) -> DataFrame:
     return grids.select(*KEYS, "grid_id", F.inline(cell_rects(F.col("row_boundaries"), F.col("column_boundaries"))))
 
 
+def strips(grids: DataFrame, boundaries: str, name: str, low: str, high: str) -> DataFrame:
+    """The rows or the columns of each grid, numbered from 0, with their two edges."""
+    edges = F.col(boundaries)
+    each = F.transform(
+        F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0))),
+        lambda e, i: F.named_struct(F.lit(name), i, F.lit(low), e, F.lit(high), F.element_at(edges, i + 2)),
+    )
+    return grids.select(*KEYS, "grid_id", F.inline(each))
+
+
 def assign_words(words: DataFrame, grids: DataFrame) -> DataFrame:
     """Each word in the cell that holds its centre, else in the one it overlaps most.
 
     Of equally good cells the lower, then the further right takes it. Words that meet
-    no cell are left out. An equi-join on page carries the box test, so no pair of
-    pages is ever compared; a word meets only the cells of its own page.
+    no cell, or lack an edge, are left out. A word meets the rows of its page's grids in
+    an equi-join, then the columns of those it touches, not every cell of the page.
     """
-    cells = grid_cells(grids)
-    c = cells.select(*KEYS, "grid_id", "row", "col", *(F.col(e).alias(f"c_{e}") for e in ("x0", "y0", "x1", "y1")))
+    rows, cols = strips(grids, "row_boundaries", "row", "c_y0", "c_y1"), strips(grids, "column_boundaries", "col", "c_x0", "c_x1")
     word, cell = Box.named(), Box.named("c_")
-    ratio = cell.overlap_ratio(word)
-    score = ratio + F.when(cell.holds_center_of(word), 2.0).otherwise(0.0)
-    rated = words.join(c, KEYS).where(cell.intersects(word)).withColumn("_score", score).where("_score > 0")
+    w = words.select(*KEYS, "word_id", "text", "x0", "y0", "x1", "y1", "confidence")
+    level = w.join(rows, KEYS).where((F.col("c_y0") <= F.col("y1")) & (F.col("c_y1") >= F.col("y0")))
+    met = level.join(cols, [*KEYS, "grid_id"]).where((F.col("c_x0") <= F.col("x1")) & (F.col("c_x1") >= F.col("x0")))
+    score = cell.overlap_ratio(word) + F.when(cell.holds_center_of(word), 2.0).otherwise(0.0)
+    rated = met.withColumn("_score", score).where("_score > 0")
     best = F.max(F.struct("_score", "row", "col")).alias("_b")
     chosen = rated.groupBy(*KEYS, "grid_id", "word_id").agg(best, F.first(F.struct("text", "x0", "y0", "x1", "y1", "confidence")).alias("_w"))
     return chosen.select(*KEYS, "grid_id", "word_id", F.col("_b.row").alias("row"), F.col("_b.col").alias("col"), F.col("_b._score").alias("score"), "_w.*")
@@ -144,27 +155,35 @@ def cell_table(words: DataFrame, grids: DataFrame) -> DataFrame:
     return cells.join(filled, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def grid_scores(cells: DataFrame, grids: DataFrame, pages: DataFrame) -> DataFrame:
+def grid_use(placed: DataFrame) -> DataFrame:
+    """By grid the ``populated`` cells and ``occupied_rows`` of words or cells with ``row``, ``col`` and ``text``.
+
+    A cell has text if one of its words has, so none need be built.
+    """
+    used = placed.where(F.col("text").rlike(r"(?U)\S")).groupBy(*KEYS, "grid_id").agg(F.collect_set(F.struct("row", "col")).alias("_c"))
+    return used.select(*KEYS, "grid_id", F.size("_c").cast("bigint").alias("populated"), F.size(F.array_distinct("_c.row")).cast("bigint").alias("occupied_rows"))
+
+
+def grid_scores(placed: DataFrame, grids: DataFrame, pages: DataFrame) -> DataFrame:
     """How much a grid looks like a table, 0 to 1, with what the score is made of.
 
-    ``pages`` has ``page_width`` and ``page_height``. Boxes of one row or column, or of
-    less than a hundredth of the page, score 0.
+    ``placed`` has cells, or words in cells; ``pages`` has ``page_width`` and
+    ``page_height``. Boxes of one row or column, or of less than a hundredth of the
+    page, score 0.
     """
-    filled = F.col("text").rlike(r"(?U)\S")
-    use = cells.groupBy(*KEYS, "grid_id").agg(
-        F.count_if(filled).alias("populated"), F.count(F.lit(1)).alias("total"), F.count_distinct(F.when(filled, F.col("row"))).alias("occupied_rows")
-    )
+    use = grid_use(placed)
     n_rows, n_cols = boundary_count(F.col("row_boundaries")), boundary_count(F.col("column_boundaries"))
     share = Box.named().area / F.greatest(F.lit(1.0), F.col("page_width") * F.col("page_height"))
     one = F.lit(1.0)
     score = (
         F.least(one, n_rows / 4) * F.least(one, n_cols / 3) * 0.30
         + F.least(one, share / 0.08) * 0.25
-        + F.col("populated") / F.greatest(F.col("total"), F.lit(1)) * 0.25
+        + F.col("populated") / F.greatest(n_rows * n_cols, F.lit(1)) * 0.25
         + F.col("occupied_rows") / F.greatest(n_rows, F.lit(1)) * 0.20
     )
     return (
-        grids.join(use, [*KEYS, "grid_id"])
+        grids.join(use, [*KEYS, "grid_id"], "left")
+        .fillna(0, ["populated", "occupied_rows"])
         .join(pages, KEYS)
         .select(
             *KEYS, "grid_id", n_rows.alias("n_rows"), n_cols.alias("n_cols"), "populated", "occupied_rows",

@@ -11,7 +11,7 @@ from gridloom.functions import text as T
 from gridloom.functions.geometry import Box, boundary_count, points_to_pixels, quarantine
 from gridloom.operators import cluster, forms, grids, merge
 from gridloom.plans import routing
-from gridloom.session import table
+from gridloom.session import cut_lineage, table
 from gridloom.sinks import xlsx
 from gridloom.sources import layout, raster
 from gridloom.sources.layout import PAGE
@@ -45,7 +45,8 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
 
 
 def found_grids(spark: SparkSession, base: str) -> DataFrame:
-    return grids.detect_grids(lines(spark, base), TOLERANCE)
+    """The grids of every page; the lines, some dozens a page, are laid once for all that is read from them."""
+    return grids.detect_grids(cut_lineage(lines(spark, base)), TOLERANCE)
 
 
 def steady(col, scale: int = 10_000):
@@ -554,9 +555,8 @@ scored AS (
 
 
 def scored_grids(spark, base) -> tuple[DataFrame, DataFrame]:
-    w, g = words(spark, base), found_grids(spark, base)
-    cells = grids.cell_table(w, g)
-    return cells, grids.grid_scores(cells, g, page_sizes(w))
+    w, g = words(spark, base), cut_lineage(found_grids(spark, base))
+    return grids.cell_table(w, g), grids.grid_scores(grids.assign_words(w, g), g, page_sizes(w))
 
 
 @query("g03_grid_scores", with_(SCORES, "SELECT source_file, page_number, grid_id, n_rows, n_cols, populated, occupied_rows, round(score, 4) AS score FROM scored"))

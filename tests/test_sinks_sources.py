@@ -128,7 +128,7 @@ def test_skew_ink_and_quality():
     assert not imaging.has_ink(blank, 5, 5, 40, 40)
     blank[15:30, 18:22] = 0
     assert imaging.has_ink(blank, 5, 5, 40, 40)
-    assert imaging.RenderMetrics.of(np.zeros((40, 40), np.uint8)).reasons() == ["mostly_black", "flat", "no_edges"]
+    assert imaging.RenderMetrics.of(np.zeros((40, 40), np.uint8)).reasons() == ["NEAR_BLACK", "LOW_VARIANCE", "NO_EDGES"]
     assert imaging.RenderMetrics.of(rules()).reasons(True) == []
     with pytest.raises(ValueError):
         imaging.render_with_fallbacks(lambda: np.zeros((40, 40), np.uint8), [], True)
