@@ -166,24 +166,25 @@ def look_alike_map(value: Column, latin_only: bool = False) -> Column:
 
 
 def canonical_classes(values: DataFrame, latin_only: bool = False) -> DataFrame:
-    """Classes of look-alike values: ``value, canonical, n_members``, one row per value.
+    """Classes of look-alike values: ``canonical, n_members`` beside each row of ``values``.
 
-    ``values`` has one column ``value`` of distinct strings. The canonical form of a
-    class is the smallest member by code point that is its own look-alike mapping; a
-    class without such a member takes its smallest mapping. Ties cannot remain.
+    ``values`` has distinct strings as ``value``. The canonical form of a class is the
+    smallest member by code point that is its own look-alike mapping; a class without
+    such a member takes its smallest mapping. Ties cannot remain.
     """
-    mapped = values.select("value", look_alike_map(F.col("value"), latin_only).alias("mapped"))
-    view = f"look_alikes_{'latin' if latin_only else 'any'}_{id(mapped)}"
-    mapped.createOrReplaceTempView(view)
-    return values.sparkSession.sql(f"""
-        WITH keyed AS (SELECT value, mapped, mapped COLLATE UNICODE AS look FROM {view}),
+    mapped = values.withColumn("mapped", look_alike_map(F.col("value"), latin_only))
+    return values.sparkSession.sql(
+        """
+        WITH keyed AS (SELECT *, mapped COLLATE UNICODE AS look FROM {mapped}),
         chosen AS (
           SELECT look, coalesce(min(CASE WHEN value = mapped THEN value END), min(mapped)) AS canonical, count(*) AS n_members
           FROM keyed GROUP BY look)
-        SELECT k.value, c.canonical, c.n_members FROM keyed k JOIN chosen c ON k.look = c.look""")
+        SELECT k.* EXCEPT (mapped, look), c.canonical, c.n_members FROM keyed k JOIN chosen c ON k.look = c.look""",
+        mapped=mapped,
+    )
 
 
-def inconsistent_rows(df: DataFrame, row_id: str, field: str, latin_only: bool = False) -> DataFrame:
+def inconsistent_rows(df: DataFrame, row_id: str, field: str, latin_only: bool = False, salts: int = 8) -> DataFrame:
     """Rows whose value is not in consistent form: ``field_name, row_id, value, canonical``.
 
     Null, empty and blank values are consistent; very long values are mapped whole;
@@ -192,16 +193,16 @@ def inconsistent_rows(df: DataFrame, row_id: str, field: str, latin_only: bool =
 
     Scale: values are made distinct with a combine before the shuffle, so a value
     with a third of all rows is one row from then on. Pure ASCII values are their own
-    form, may be the canonical member of a class, and need no second look; the join
-    back to rows carries only values that change, each once, so its other side may
-    be split at will where a value is hot.
+    form, may be the canonical member of a class, and need no second look. Only values
+    that change go back to rows, each to ``salts`` tasks among which its rows are
+    spread, so a hot one is not one task; a task that is still too large is split by
+    the engine.
     """
-    rows = df.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{field}`").alias("_v")).where(F.col("_v").isNotNull())
-    classes = canonical_classes(rows.select(F.col("_v").alias("value")).distinct(), latin_only)
-    changed = classes.where(F.col("value") != F.col("canonical"))
-    return rows.where(F.col("_v").rlike(r"[^\x00-\x7f]")).join(changed, F.col("_v") == F.col("value")).select(
-        F.lit(field).alias("field_name"), F.col("_id").alias("row_id"), "value", "canonical"
-    )
+    rows = df.select(F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{field}`").alias("value")).where(F.col("value").isNotNull())
+    changed = canonical_classes(rows.select("value").distinct(), latin_only).where(F.col("value") != F.col("canonical"))
+    spread = changed.select("value", "canonical", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    able = rows.where(F.col("value").rlike(r"[^\x00-\x7f]")).withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    return able.join(spread, ["value", "_salt"]).select(F.lit(field).alias("field_name"), "row_id", "value", "canonical")
 
 
 def p3_found(words: DataFrame, equipment: DataFrame, forms: DataFrame) -> DataFrame:
