@@ -325,6 +325,8 @@ def f06(spark, base):
     return table(spark, base, "equipment").where(forms.populated()).select("item_id")
 
 
+#: What is stripped from the ends of a text, as a class of both engines.
+STRIPPED = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{001c}-\x{001f}]"
 BAND = GRIDS + r""",
 g AS (SELECT * FROM grids WHERE grid_id = 0),
 bottom AS (SELECT source_file, page_number, max(y1) AS b FROM words GROUP BY 1, 2),
@@ -602,7 +604,18 @@ def f19(spark, base):
     return forms.header_warnings(_form_cells(spark, base)[1])
 
 
-@query("g07_header_fields")
+@query(
+    "g07_header_fields",
+    with_(BAND, rf""", level AS (SELECT source_file, page_number, avg(cy) AS ly FROM band WHERE label GROUP BY 1, 2),
+vals AS (
+  SELECT source_file, page_number, word_id, x0, CASE WHEN (cx - gx0) / nullif(gx1 - gx0, 0) < 0.48 THEN 'p' WHEN (cx - gx0) / nullif(gx1 - gx0, 0) < 0.68 THEN 'i' ELSE 'u' END AS region,
+         nullif(regexp_replace(text, '^{STRIPPED}+|{STRIPPED}+$', '', 'g'), '') AS t
+  FROM band JOIN level USING (source_file, page_number) WHERE NOT label AND cy < ly - greatest(1.0, (y1 - y0) * 0.15))
+SELECT source_file, page_number, coalesce(string_agg(t, ' ' ORDER BY x0, word_id) FILTER (region = 'p'), '') AS person_name,
+       regexp_replace(coalesce(string_agg(t, ' ' ORDER BY x0, word_id) FILTER (region = 'i'), ''), '[^0-9]', '', 'g') AS person_identifier,
+       coalesce(string_agg(t, ' ' ORDER BY x0, word_id) FILTER (region = 'u'), '') AS organization_unit
+FROM vals GROUP BY 1, 2"""),
+)
 def g07(spark, base):
     return forms.header_fields(words(spark, base), form_area(spark, base))
 
@@ -699,7 +712,7 @@ def o05(spark, base):
 
 # Scalars -------------------------------------------------------------------------------------
 
-BL = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{001c}-\x{001f}]"
+BL = STRIPPED
 
 
 @query("t01_normalized_text", rf"SELECT form_id, regexp_replace(regexp_replace(nfc_normalize(replace(person_name, chr(0), '')), '[ \t]+', ' ', 'g'), '^{BL}+|{BL}+$', '', 'g') AS person_name FROM forms")
