@@ -41,3 +41,22 @@ def test_entry(spark, small):
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_subpackage_and_with_a_broken_one(monkeypatch):
+    import importlib
+    import importlib.util
+    import sys
+
+    import __spark_entry__ as entry
+
+    with monkeypatch.context() as m:
+        m.setattr(importlib.util, "find_spec", lambda name: None)
+        assert set(importlib.reload(entry).queries()) == set(catalog.QUERIES)
+        m.setattr(importlib.util, "find_spec", lambda name: name)
+        m.setitem(sys.modules, "gridloom.llm.catalog", None)
+        if "gridloom.llm" in sys.modules:
+            m.delattr(sys.modules["gridloom.llm"], "catalog", raising=False)
+        with pytest.raises(ImportError):
+            importlib.reload(entry)
+    importlib.reload(entry)
