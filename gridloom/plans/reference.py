@@ -174,7 +174,7 @@ def s05(spark, base):
 
 @query("g11_render_metrics")
 def g11(spark, base):
-    return raster.render_metrics(raster.draw_pages(words(spark, base)))
+    return raster.draw_pages(words(spark, base), kernel=raster.METRICS)
 
 
 @query("i07_raster_rules")
