@@ -184,8 +184,7 @@ def i07(spark, base):
 
 @query("j08_words_with_ink")
 def j08(spark, base):
-    w = words(spark, base)
-    return raster.words_with_ink(w, raster.draw_pages(w))
+    return raster.words_with_ink(words(spark, base))
 
 
 # Geometry ------------------------------------------------------------------------------------

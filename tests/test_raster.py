@@ -92,3 +92,9 @@ def test_components_are_those_of_a_flood_fill():
         assert imaging.mask_boxes(mask).tolist() == boxes
         assert imaging.component_boxes(*imaging.label_components(mask)).tolist() == boxes
     assert imaging.mask_boxes(np.zeros((4, 5), bool)).shape == (0, 5)
+
+
+def test_ink_on_many_large_pages(spark, tall):
+    rows, mb = peak_mb(lambda: reference.QUERIES["j08_words_with_ink"](spark, tall).collect())
+    assert {(r["page_number"], r["word_id"], r["has_ink"]) for r in rows} == {(p + 1, 3 * p + k, k == 1) for p in range(PAGES) for k in (0, 1)}
+    assert mb < 400
