@@ -179,7 +179,7 @@ def g11(spark, base):
 
 @query("i07_raster_rules")
 def i07(spark, base):
-    return raster.raster_lines(raster.draw_pages(words(spark, base)), 0.02)
+    return raster.draw_pages(words(spark, base), kernel=raster.rules_kernel(0.02))
 
 
 @query("j08_words_with_ink")

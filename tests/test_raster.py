@@ -98,3 +98,18 @@ def test_ink_on_many_large_pages(spark, tall):
     rows, mb = peak_mb(lambda: reference.QUERIES["j08_words_with_ink"](spark, tall).collect())
     assert {(r["page_number"], r["word_id"], r["has_ink"]) for r in rows} == {(p + 1, 3 * p + k, k == 1) for p in range(PAGES) for k in (0, 1)}
     assert mb < 400
+
+
+def test_rules_of_many_large_pages(spark, tall):
+    rows, mb = peak_mb(lambda: reference.QUERIES["i07_raster_rules"](spark, tall).collect())
+    level = [(r["page_number"], r["start_x"], r["end_x"], r["thickness"]) for r in rows if r["is_horizontal"] and r["end_x"] - r["start_x"] > 100]
+    assert sorted(level) == [(p, 10.0, 250.0, 2.0) for p in range(1, PAGES + 1)]
+    assert mb < 400
+
+
+def test_threshold_is_that_of_the_gaussian_mean():
+    rng = np.random.default_rng(4)
+    flat = np.full((40, 50), 90, np.uint8)
+    for image in (rng.integers(0, 256, (70, 131), dtype=np.uint8), rng.integers(100, 104, (5, 300), dtype=np.uint8), flat, flat[:1, :1]):
+        for block, offset in ((31, 13.0), (35, 15.0), (31, 0.0)):
+            assert ((imaging.binarize(image, block, offset) > 0) == (image > imaging.gaussian_blur(image, block) - offset)).all()
